@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words of a text, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,7 +56,7 @@ def utf8(column: Column | str) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with one call of ``function(batch) -> RecordBatch | None`` per batch."""
     bounded_batches(df.sparkSession)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from anchorage.llm import bpe, jpeg, quality, sharding
+from anchorage.llm import bpe, jpeg, minhash, quality, sharding, substring
 from anchorage.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,10 +21,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(VOCABULARY)
     return bpe.digests(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
@@ -33,7 +41,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_media_columns": op2_media_columns,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_bpe": op9_bpe,
 }
 
