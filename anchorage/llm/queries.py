@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from anchorage.llm import bpe, jpeg, minhash, mixing, ngram_lm, quality, sharding, substring
+from anchorage.llm import bpe, jpeg, minhash, mixing, ngram_lm, quality, sharding, substring, toxicity
 from anchorage.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +42,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    chain = toxicity.train_on(documents, table(spark, sf_dir, "labels"), categories)
+    return toxicity.predict(documents, chain, list(categories))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(VOCABULARY)
     return bpe.digests(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
@@ -54,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
 }
 
