@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorage.llm import bpe, jpeg, minhash, mixing, ngram_lm, quality, sharding, substring, toxicity
+from anchorage.llm import bpe, html_text, jpeg, minhash, mixing, ngram_lm, quality, sharding, substring, toxicity
 from anchorage.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_media_columns": op2_media_columns,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe": op9_bpe,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
