@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import map_batches
+from anchorage.llm.common import list_column, map_batches
 
 #: Encoded pre-tokens a Python worker remembers, and the longest that it does.
 CACHE_ENTRIES = 500_000
@@ -161,36 +161,29 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def tokenize(documents: DataFrame, ranks: str | Callable[[], str], pattern: str) -> DataFrame:
-    """(doc_id, ids as array<int>) of every text; a null text counts as empty.
+def encoded(documents: DataFrame, ranks: str | Callable[[], str], pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and on request its ids.
 
-    ``ranks`` is a vocabulary file that every worker has, or a function giving its path there.
+    ``ranks`` is a vocabulary file that every worker has, or a function giving
+    its path there.  Ids are digested as little-endian unsigned 32-bit integers,
+    and decoded again for the digest of the decoded bytes.  Null and empty texts
+    have no tokens.  Repeated rows get a row each.  Other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(ranks() if callable(ranks) else ranks, pattern)
-        ids = [np.frombuffer(own.encode(t.as_py() or ""), "<u4").astype(np.int32) for t in batch.column(1)]
-        return pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>")
-
-
-def digests(documents: DataFrame, ranks: str | Callable[[], str], pattern: str) -> DataFrame:
-    """Encode every whole text, decode the ids, and return counts and SHA-256 digests of both.
-
-    Null and empty texts have no tokens.  Repeated rows get a row each.
-    """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(ranks() if callable(ranks) else ranks, pattern)
-        counts, encoded, decoded = [], [], []
+        counts, encoded, decoded, kept = [], [], [], []
         for text in batch.column(1):
             ids = own.encode(text.as_py() or "")
             counts.append(len(ids) // 4)
             encoded.append(hashlib.sha256(ids).hexdigest())
             decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            if with_ids:
+                kept.append(np.frombuffer(ids, "<i4"))
         columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
-        return pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if with_ids:
+            columns.append(list_column(kept, pa.int32()))
+        return pa.record_batch(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return map_batches(documents.select(F.col("doc_id").cast("long"), "text"), run, schema)

@@ -80,7 +80,7 @@ def band_keys(coordinates: np.ndarray, bands: int) -> np.ndarray:
 
 
 def sketches(documents: DataFrame, params: Params) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands); set_id and bands are null for a text without words."""
+    """(doc_id, n_shingles, set_id, bands, text_key); set_id is null and bands are empty for a text without words."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, keys, bands = [], [], []
@@ -91,10 +91,11 @@ def sketches(documents: DataFrame, params: Params) -> DataFrame:
             coordinates = signature(found, params.bands * params.rows) if len(found) else None
             bands.append(np.empty(0, np.int64) if coordinates is None else band_keys(coordinates, params.bands))
         columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), list_column(bands, pa.int64())]
-        return pa.record_batch(columns, names=["doc_id", "n_shingles", "set_id", "bands"])
+        return pa.record_batch([*columns, batch.column(2)], names=["doc_id", "n_shingles", "set_id", "bands", "text_key"])
 
-    schema = "doc_id long, n_shingles long, set_id binary, bands array<long>"
-    return map_batches(documents.select(F.col("doc_id").cast("long"), utf8("text").alias("text")), run, schema)
+    schema = "doc_id long, n_shingles long, set_id binary, bands array<long>, text_key long"
+    text = utf8("text")
+    return map_batches(documents.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text)), run, schema)
 
 
 def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
@@ -184,7 +185,7 @@ def _edge_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``documents`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, text_key) for every row of ``documents`` (doc_id, text).
 
     ``component_id`` is the smallest id reachable over links; ``kept`` says
     whether that is the row's own.  Null, empty and blank texts are linked with
@@ -201,13 +202,24 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     )
     stars = components(cut(_links(documents, classes, params)))
     named = classes.join(stars, classes.rep == stars.id, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    out = found.drop("bands").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_key"
     )
 
 
+def kept_documents(documents: DataFrame, params: Params = Params()) -> DataFrame:
+    """One document of each group, with all columns as they are; of repeated rows one stays."""
+    names = [f"column{k}" for k in range(len(documents.columns))]
+    at = dict(zip(documents.columns, names, strict=True))
+    kept = near_duplicates(documents, params).filter("kept").select("doc_id", "text_key").distinct()
+    keyed = documents.toDF(*names).withColumn("own_key", F.xxhash64(utf8(at["text"])))
+    same = keyed[at["doc_id"]].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["own_key"] == kept["text_key"])
+    once = keyed.join(kept, same, "left_semi").dropDuplicates([at["doc_id"], "own_key"])
+    return once.select(*[F.col(n).alias(c) for c, n in at.items()])
+
+
 def _links(documents: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     """Edges (a, b) between class representatives that span all links within candidate groups."""
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))

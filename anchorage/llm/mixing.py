@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import WORD, cut
+from anchorage.llm.common import WORD, cut, utf8
 
 BUCKETS = 1024
 
@@ -152,7 +152,7 @@ def _copies(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, copies) for every row of ``documents`` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, source, copies, text_key) for every row of ``documents`` (doc_id, text, source).
 
     ``size`` counts words and is 0 for a null text; such rows are taken 0
     times.  The choice among documents of one source and size follows hashes of
@@ -164,6 +164,7 @@ def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
             "doc_id",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             "source",
+            F.xxhash64(utf8("text")).alias("text_key"),
             _source_key().alias("key"),
             F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(BUCKETS)).cast("int").alias("bucket"),
         )
@@ -189,5 +190,19 @@ def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
         .withColumn("copies", F.coalesce(F.col("each") + (F.col("place") <= F.col("more")).cast("int"), F.lit(0)).cast("int"))
     )
     return out.join(goals, "key").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies", "text_key"
     )
+
+
+def mixture(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """``documents`` with every row as often as the mix holds it, all columns as they are."""
+    names = [f"column{k}" for k in range(len(documents.columns))]
+    at = dict(zip(documents.columns, names, strict=True))
+    keyed = documents.toDF(*names).withColumn("text_key", F.xxhash64(utf8(at["text"])))
+    # Repeated rows are told apart only by their number: what they get together is dealt to one of them.
+    together = mixed(documents, mix).groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_key").alias("mixed_key")).agg(F.sum("copies").cast("int").alias("copies"))
+    once = keyed.dropDuplicates([at["doc_id"], "text_key"])
+    same = once[at["doc_id"]].eqNullSafe(together["mixed_id"]) & (once["text_key"] == together["mixed_key"])
+    held = once.join(together.filter("copies > 0"), same)
+    repeated = held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(n).alias(c) for c, n in at.items()])

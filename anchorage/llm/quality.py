@@ -126,6 +126,24 @@ def quality_rules(documents: DataFrame, bands: Bands = Bands()) -> DataFrame:
     return map_batches(documents.select(F.col("doc_id").cast("long"), utf8("text").alias("text")), run, SCHEMA)
 
 
+def kept_documents(documents: DataFrame, bands: Bands = Bands()) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, all columns as they are; repeated rows all stay or all go."""
+    order = documents.columns
+    names = [f"column{k}" for k in range(len(order))]
+    renamed = documents.toDF(*names)
+    place = order.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        compressor = zstandard.ZstdCompressor(level=bands.level)
+        keep = []
+        for text in binary_values(batch.column(len(names))):
+            n, _, _, _, repeated = text_statistics(text)
+            keep.append(not (n < 50 or 100 * repeated > 50 * n) and compression(text, bands, compressor)[2])
+        return pa.record_batch(batch.columns[:-1], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return map_batches(renamed.withColumn("bytes", utf8(names[place])), run, renamed.schema).toDF(*order)
+
+
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64())]
     + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]

@@ -51,7 +51,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(VOCABULARY)
-    return bpe.digests(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
+    return bpe.encoded(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
