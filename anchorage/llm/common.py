@@ -10,6 +10,7 @@ treat as never.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql.types import StructType
 #: Words of a text, for Spark's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Largest Arrow batch handed to Python, so that memory follows the batch and not the row count.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 U64 = np.uint64
 
@@ -54,6 +55,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Frees the shuffle files of a query when it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as Parquet in the shared folder, for data too large to lie there as uncompressed rows.
+
+    Its shuffle files are freed once it is written.  ``discard`` frees the Parquet itself.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    """Delete what ``stash`` wrote, once nothing that is still to run reads it."""
+    spark = stashed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stashed.stash_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def utf8(column: Column | str) -> Column:
     """The UTF-8 bytes of a text column, empty for null."""
     column = F.col(column) if isinstance(column, str) else column

@@ -24,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from anchorage.llm.common import U64, binary_values, cut, gram_hashes, hashed_words, list_column, map_batches, mix64, utf8
+from anchorage.llm.common import (
+    U64, binary_values, discard, gram_hashes, hashed_words, list_column, map_batches, mix64, stash, utf8,
+)
 
 WINDOW = 50
 GRAM = 20
@@ -90,26 +92,23 @@ def seeds(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
 
 
 def _runs(contested: DataFrame, documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, text_key, start, run): the extensions of contested occurrences, each run of a document once."""
+    """(doc_id, text_key, starts, runs): the extensions of contested occurrences, each run of a document once."""
     places = contested.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
     rows = places.hint("shuffle_hash").join(_keyed(documents), ["doc_id", "text_key"]).select("doc_id", "text_key", "places", "text")
     reach = np.arange(window - gram + 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, starts, runs = [], [], []
-        for k, (at, text) in enumerate(zip(batch.column(2), binary_values(batch.column(3)), strict=True)):
+        starts, runs = [], []
+        for at, text in zip(batch.column(2), binary_values(batch.column(3)), strict=True):
             hashes = gram_hashes(hashed_words(text), window)
             start = np.unique(at.values.to_numpy()[:, None].astype(np.int64) - reach)
             start = start[(start >= 0) & (start < len(hashes))]
-            rows.append(np.full(len(start), k))
-            starts.append(start)
-            runs.append(hashes[start])
-        row = pa.array(np.concatenate(rows))
-        columns = [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(starts), pa.int32())]
-        names = ["doc_id", "text_key", "start", "run"]
-        return pa.record_batch([*columns, pa.array(np.concatenate(runs).view(np.int64))], names=names)
+            starts.append(start.astype(np.int32))
+            runs.append(hashes[start].view(np.int64))
+        arrays = [list_column(starts, pa.int32()), list_column(runs, pa.int64())]
+        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "starts", "runs"])
 
-    return map_batches(rows, run, "doc_id long, text_key long, start int, run long")
+    return map_batches(rows, run, "doc_id long, text_key long, starts array<int>, runs array<long>")
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -119,7 +118,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     ``starts`` lists further runs of ``window`` words that one has.  Rows with
     a null id neither have repeats nor count as a source of them.
     """
-    found = cut(seeds(documents, window, gram))
+    found = stash(seeds(documents, window, gram))
     hits = found.select("doc_id", "text_key", F.explode(F.arrays_zip("place", "anchor", "around")).alias("x"))
     hits = hits.select("doc_id", "text_key", "x.place", "x.anchor", "x.around")
     groups = (
@@ -128,21 +127,27 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         .filter("first < last")
         .select("anchor", "first", (F.col("a") == F.col("b")).alias("alike"))
     )
-    shared = cut(hits.join(groups, "anchor"))
+    shared = hits.join(groups, "anchor").filter("not alike or first < doc_id")
+    shared = stash(shared.select("doc_id", "text_key", "place", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around")]))
+    discard(found)
     differing = shared.filter("not alike")
     owners = differing.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner"))
-    judged = differing.join(owners, ["anchor", "around"])
-    runs = cut(_runs(judged.filter("doc_id = owner"), documents, window, gram))
+    judged = differing.join(owners, ["anchor", "around"]).select("doc_id", "text_key", "place", (F.col("doc_id") == F.col("owner")).alias("own"))
+    judged = stash(judged.unionByName(shared.filter("alike").select("doc_id", "text_key", "place", F.lit(False).alias("own"))))
+    discard(shared)
+    packed = stash(_runs(judged.filter("own"), documents, window, gram))
+    runs = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "runs")).alias("x"))
+    runs = runs.select("doc_id", "text_key", F.col("x.starts").alias("start"), F.col("x.runs").alias("run"))
     sources = runs.groupBy("run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
     extended = runs.join(sources.select("run", "source"), "run").filter("source < doc_id")
-    whole = shared.filter("alike and first < doc_id").select("doc_id", "text_key", "place").unionByName(
-        judged.filter("owner < doc_id").select("doc_id", "text_key", "place")
-    )
     nothing = F.lit(None).cast("int")
-    both = whole.select("doc_id", "text_key", F.col("place").alias("whole"), nothing.alias("start")).unionByName(
+    both = judged.filter("not own").select("doc_id", "text_key", F.col("place").alias("whole"), nothing.alias("start")).unionByName(
         extended.select("doc_id", "text_key", nothing.alias("whole"), "start")
     )
-    return both.groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("whole"), F.collect_list("start").alias("starts"))
+    spans = stash(both.groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("whole"), F.collect_list("start").alias("starts")))
+    discard(judged)
+    discard(packed)
+    return spans
 
 
 def _kept(text: memoryview, whole: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[int, int, bytes]:
