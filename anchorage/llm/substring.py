@@ -74,26 +74,38 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def seeds(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, place, anchor, around) with one element of the arrays for each anchor."""
+    """(doc_id, text_key, places, anchor, around) with one element of the arrays for each anchor in equal surroundings.
+
+    A text that repeats itself has such an anchor at many places, which travel together.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places, grams, around = [], [], []
+        ends, places, grams, around = [], [], [], []
         for text in binary_values(batch.column(2)):
             words = hashed_words(text)
             at, found = anchors(words, window, gram)
+            near = surroundings(words, at, window, gram)
+            order = np.lexsort((at, near, found))
+            at, found, near = at[order], found[order], near[order]
+            new = np.flatnonzero(np.append((found[1:] != found[:-1]) | (near[1:] != near[:-1]), True)) if len(at) else at
+            ends.append(new + 1)
             places.append(at.astype(np.int32))
-            grams.append(found.view(np.int64))
-            around.append(surroundings(words, at, window, gram).view(np.int64))
-        arrays = [list_column(places, pa.int32()), list_column(grams, pa.int64()), list_column(around, pa.int64())]
-        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "place", "anchor", "around"])
+            grams.append(found[new].view(np.int64))
+            around.append(near[new].view(np.int64))
+        before = np.cumsum([0, *map(len, places)])
+        inner = np.concatenate(([0], *[e + b for e, b in zip(ends, before, strict=False)])).astype(np.int32)
+        each = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(places)))
+        outer = np.cumsum([0, *map(len, ends)]).astype(np.int32)
+        arrays = [pa.ListArray.from_arrays(pa.array(outer), each), list_column(grams, pa.int64()), list_column(around, pa.int64())]
+        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "places", "anchor", "around"])
 
-    schema = "doc_id long, text_key long, place array<int>, anchor array<long>, around array<long>"
-    return map_batches(_keyed(documents).filter("doc_id is not null"), run, schema).filter("size(place) > 0")
+    schema = "doc_id long, text_key long, places array<array<int>>, anchor array<long>, around array<long>"
+    return map_batches(_keyed(documents).filter("doc_id is not null"), run, schema).filter("size(places) > 0")
 
 
 def _runs(contested: DataFrame, documents: DataFrame, window: int, gram: int) -> DataFrame:
     """(doc_id, text_key, starts, runs): the extensions of contested occurrences, each run of a document once."""
-    places = contested.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
+    places = contested.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))
     rows = places.hint("shuffle_hash").join(_keyed(documents), ["doc_id", "text_key"]).select("doc_id", "text_key", "places", "text")
     reach = np.arange(window - gram + 1)
 
@@ -119,8 +131,8 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     a null id neither have repeats nor count as a source of them.
     """
     found = stash(seeds(documents, window, gram))
-    hits = found.select("doc_id", "text_key", F.explode(F.arrays_zip("place", "anchor", "around")).alias("x"))
-    hits = hits.select("doc_id", "text_key", "x.place", "x.anchor", "x.around")
+    hits = found.select("doc_id", "text_key", F.explode(F.arrays_zip("places", "anchor", "around")).alias("x"))
+    hits = hits.select("doc_id", "text_key", "x.places", "x.anchor", "x.around")
     groups = (
         hits.groupBy("anchor")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("around").alias("a"), F.max("around").alias("b"))
@@ -128,12 +140,12 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         .select("anchor", "first", (F.col("a") == F.col("b")).alias("alike"))
     )
     shared = hits.join(groups, "anchor").filter("not alike or first < doc_id")
-    shared = stash(shared.select("doc_id", "text_key", "place", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around")]))
+    shared = stash(shared.select("doc_id", "text_key", "places", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around")]))
     discard(found)
     differing = shared.filter("not alike")
     owners = differing.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner"))
-    judged = differing.join(owners, ["anchor", "around"]).select("doc_id", "text_key", "place", (F.col("doc_id") == F.col("owner")).alias("own"))
-    judged = stash(judged.unionByName(shared.filter("alike").select("doc_id", "text_key", "place", F.lit(False).alias("own"))))
+    judged = differing.join(owners, ["anchor", "around"]).select("doc_id", "text_key", "places", (F.col("doc_id") == F.col("owner")).alias("own"))
+    judged = stash(judged.unionByName(shared.filter("alike").select("doc_id", "text_key", "places", F.lit(False).alias("own"))))
     discard(shared)
     packed = stash(_runs(judged.filter("own"), documents, window, gram))
     runs = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "runs")).alias("x"))
@@ -141,10 +153,10 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     sources = runs.groupBy("run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
     extended = runs.join(sources.select("run", "source"), "run").filter("source < doc_id")
     nothing = F.lit(None).cast("int")
-    both = judged.filter("not own").select("doc_id", "text_key", F.col("place").alias("whole"), nothing.alias("start")).unionByName(
-        extended.select("doc_id", "text_key", nothing.alias("whole"), "start")
+    both = judged.filter("not own").select("doc_id", "text_key", F.col("places").alias("whole"), nothing.alias("start")).unionByName(
+        extended.select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("whole"), "start")
     )
-    spans = stash(both.groupBy("doc_id", "text_key").agg(F.collect_list("whole").alias("whole"), F.collect_list("start").alias("starts")))
+    spans = stash(both.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.collect_list("start").alias("starts")))
     discard(judged)
     discard(packed)
     return spans
