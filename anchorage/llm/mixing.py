@@ -135,16 +135,15 @@ def _copies(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     for _ in range(mix.repairs):
         left = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("got")).join(goals.select("key", "target"), "key")
         left = left.select("key", (F.col("target") - F.col("got")).alias("gap"))
+        # Of the sizes that fit into the gap, the largest first, as many as fit; what is left is smaller than one of them.
         room = F.when(F.col("gap") > 0, F.col("n") * mix.limit - F.col("copies")).otherwise(F.col("copies"))
-        times = F.least(room, F.greatest(F.lit(1), F.floor(F.abs("gap") / F.col("size"))))
-        better = cells.join(left, "key").withColumn("times", times).filter("times > 0")
-        rest = F.abs(F.abs("gap") - F.col("times") * F.col("size"))
-        best = better.filter(rest < F.abs("gap")).groupBy("key").agg(
-            F.min(F.struct(rest.alias("rest"), "size", (F.col("times") * F.signum("gap")).cast("long").alias("change"))).alias("best")
-        )
-        best = best.select("key", F.col("best.size").alias("size"), F.col("best.change").alias("change"))
+        fitting = cells.join(left, "key").withColumn("room", room).filter((F.col("room") > 0) & (F.col("size") <= F.abs("gap")))
+        before = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+        used = F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0))
+        times = F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.abs("gap") - used) / F.col("size"))))
+        changes = fitting.select("key", "size", (times * F.signum("gap")).cast("long").alias("change")).filter("change <> 0")
         cells = cut(
-            cells.join(best, ["key", "size"], "left").select(
+            cells.join(changes, ["key", "size"], "left").select(
                 "key", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long").alias("copies")
             )
         )
