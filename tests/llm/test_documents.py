@@ -232,6 +232,14 @@ def mix_targets(sizes: dict) -> dict:
         fixed.update({s: 2.0 * sizes[s] for s in over})
 
 
+def nearest(sizes: list[int], goal: float) -> float:
+    """How near to a goal the words of up to two copies of each document can come."""
+    able = 1
+    for size in sizes:
+        able |= able << size | able << 2 * size
+    return min(abs(k - goal) for k in range(able.bit_length()) if able >> k & 1)
+
+
 def test_mixing(docs, rows, nothing):
     got = mixing.mixed(docs).collect()
     sizes = Counter()
