@@ -23,7 +23,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All pairs with a common shingle, counted; components by closing the links.
+_NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reach r JOIN both_ways l ON l.x = r.b)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+_SUBSTRINGS = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+runs AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS f FROM runs GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 50)) AS k FROM runs JOIN firsts USING (h) WHERE f < doc_id)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS k FROM w),
+kept AS (SELECT o.doc_id, count(*) AS n_words, count(g.k) AS n_removed, string_agg(o.word, ' ' ORDER BY o.k) FILTER (WHERE g.k IS NULL) AS text
+         FROM words o LEFT JOIN gone g ON g.doc_id = o.doc_id AND g.k = o.k GROUP BY o.doc_id)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+#: The test pages mark their articles plainly and no line of one may be deleted, so regular expressions suffice for them.
+_PAGES = r"""
+SELECT page_id, url, text, length(text) AS n_chars FROM (
+  SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(
+    regexp_split_to_array(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g'), '</?(?:p|h1)>'),
+    lambda b: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(b, '</?b>', '', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda b: b <> ''), chr(10)), '') AS text
+  FROM pages)
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_minhash_near_dedup": _NEAR_DUPLICATES,
+    "op7_substring_dedup": _SUBSTRINGS,
+    "op10_html_extraction": _PAGES,
+}
