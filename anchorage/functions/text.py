@@ -80,3 +80,12 @@ def pluralized(n: Column, word: str) -> Column:
 
 def occurrence_id(page_url: Column, link_id: Column, day: Column) -> Column:
     return F.concat_ws("::", page_url, link_id.cast("string"), F.coalesce(day, F.lit("")))
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """How long ago a time was, in the largest unit that fits: days, hours, minutes or seconds."""
+    seconds = F.timestamp_diff("SECOND", then, now)
+    out = F.concat(seconds.cast("string"), F.lit(" s ago"))
+    for size, unit in ((60, "min"), (3600, "h"), (86400, "d")):
+        out = F.when(F.abs(seconds) >= size, F.concat((seconds / size).cast("int").cast("string"), F.lit(f" {unit} ago"))).otherwise(out)
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from anchorage.functions.text import day_number, deep_link, occurrence_id
 from anchorage.operators.rules import RULES, apply_rules, live
+from anchorage.operators.state import classify
 from anchorage.settings import COURSE, KINDS, NOT_OK
 
 STATUSES = ("ok", "broken", "unreachable", "pending")
@@ -160,6 +161,29 @@ def undismissed(places: DataFrame, dismissed: DataFrame) -> DataFrame:
     return keyed.join(dismissed, same, "left_anti")
 
 
+def reconciled(dismissed: DataFrame, places: DataFrame) -> DataFrame:
+    """Dismissals (occurrence_id, last_checked_at) that still hold: their place is still listed and was not checked since.
+
+    An id of an older form, without a section, stands for the place without one.
+    """
+    sections = F.size(F.split("occurrence_id", "::"))
+    whole = dismissed.withColumn("occurrence_id", F.when(sections == 2, F.concat("occurrence_id", F.lit("::"))).otherwise(F.col("occurrence_id")))
+    now = places.select(occurrence_id(F.col("page_url"), F.col("link_id"), F.col("day_context")).alias("occurrence_id"), F.col("last_checked_at").alias("now"))
+    same = (whole["occurrence_id"] == now["occurrence_id"]) & whole["last_checked_at"].eqNullSafe(now["now"])
+    return whole.join(now, same, "left_semi")
+
+
+def progress(results: DataFrame) -> DataFrame:
+    """(checked, not_ok) of a batch of outcomes."""
+    return results.agg(*progress_metrics())
+
+
+def progress_metrics() -> list[Column]:
+    """The two counters, for ``observe`` on a stream or ``agg`` on a batch."""
+    bad = classify(F.col("http_status"), F.col("error_type")) != "ok"
+    return [F.count(F.lit(1)).alias("checked"), F.count_if(bad).alias("not_ok")]
+
+
 def info(places: DataFrame) -> DataFrame:
     """A blurb to copy for each occurrence: one line for each thing known."""
     def line(name: str, value: Column) -> Column:

@@ -56,6 +56,15 @@ def live(links: DataFrame, page_links: DataFrame) -> DataFrame:
     return links.join(page_links.select(F.col("link_id").alias("id")), "id", "left_semi")
 
 
+#: What extraction and checking leave out by themselves, for the report.
+BY_DESIGN: tuple[tuple[str, str], ...] = (
+    ("no text", "Links without text, such as images, are not extracted: nobody could find them on the page."),
+    ("own site", "Links within a site are followed, not checked."),
+    ("no request", "Jumps within a page and mail, telephone and script links ask for no page."),
+    ("orphans", "Links that no page has any more are kept, but neither checked nor reported."),
+)
+
+
 def documented(rules: tuple[HostRule | TextRule, ...] = RULES) -> list[tuple[str, str]]:
     """Keys and reasons, for the report."""
-    return [(rule.key, rule.reason) for rule in rules]
+    return [(rule.key, rule.reason) for rule in rules] + list(BY_DESIGN)

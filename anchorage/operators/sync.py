@@ -45,11 +45,11 @@ def upsert_pages(pages: DataFrame, crawled: DataFrame) -> DataFrame:
     return upsert(pages, crawled, ["site_id", "url"], rest)
 
 
-def new_links(found: DataFrame, now: datetime) -> DataFrame:
-    """Rows of links for URLs (url): unchecked and due at once."""
+def with_new_state(urls: DataFrame, now: datetime) -> DataFrame:
+    """Distinct URLs (url, and id if they have one) as links: unchecked and due at once."""
     nothing = F.lit(None)
-    return found.select("url").distinct().select(
-        "url", host("url").alias("host"), at(now).alias("first_seen_at"), nothing.cast("timestamp_ntz").alias("last_checked_at"),
+    return urls.select(
+        *[c for c in urls.columns if c == "id"], "url", host("url").alias("host"), at(now).alias("first_seen_at"), nothing.cast("timestamp_ntz").alias("last_checked_at"),
         at(now).alias("next_check_at"), nothing.cast("int").alias("last_http_status"), nothing.cast("string").alias("last_error_type"),
         F.lit(0).alias("consecutive_failures"), F.lit(PENDING).alias("status"),
     )
@@ -57,7 +57,7 @@ def new_links(found: DataFrame, now: datetime) -> DataFrame:
 
 def upsert_links(links: DataFrame, found: DataFrame, now: datetime) -> DataFrame:
     """Links with those of ``found`` (url) that were not there; the state of known links stays."""
-    return upsert(links, new_links(found, now), ["url"], [])
+    return upsert(links, with_new_state(found.select("url").distinct(), now), ["url"], [])
 
 
 def first_of_each(found: DataFrame) -> DataFrame:

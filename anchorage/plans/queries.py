@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorage.functions import extract
-from anchorage.functions.text import day_number, deep_link, percent_encode, truncate_words
+from anchorage.functions.text import day_number, deep_link, percent_encode, relative_time, truncate_words
 from anchorage.functions.urls import host, is_link, page_identity, repair_scheme, slug, without_fragment
 from anchorage.operators import admission, reach, report, rules, state, sync
 from anchorage.operators.admission import at
@@ -231,6 +231,28 @@ def status_counts(m: Model) -> DataFrame:
     return counts.withColumn("shown", pluralized(F.col("n_links"), "link"))
 
 
+@query("SELECT count(*) AS checked, count(*) FILTER (WHERE class <> 'ok') AS not_ok FROM m_checks")
+def check_counters(m: Model) -> DataFrame:
+    return report.progress(m.checks)
+
+
+@query(f"""SELECT o.id AS page_link_id, p.url || '::' || l.id || '::' AS occurrence_id FROM {_JOINED} WHERE {_FAILING} AND l.id % 2 = 0 AND o.id % 2 = 0""")
+def held_dismissals(m: Model) -> DataFrame:
+    times = m.links.select(F.col("id").alias("link_id"), "last_checked_at")
+    places = report.occurrences(m.sites, m.ordered_pages, m.page_links, _failing(m)).join(times, "link_id")
+    when = F.when(F.col("page_link_id") % 2 == 0, F.col("last_checked_at")).otherwise(F.col("last_checked_at") - F.expr("interval 1 day"))
+    # Ids of the older form have no section.
+    dismissed = places.filter("link_id % 2 = 0").select(
+        F.concat_ws("::", "page_url", F.col("link_id").cast("string")).alias("occurrence_id"), when.alias("last_checked_at"), "page_link_id"
+    )
+    return report.reconciled(dismissed, places).select("page_link_id", "occurrence_id")
+
+
+@query("SELECT event_id, CASE WHEN s >= 86400 THEN (s // 86400) || ' d ago' WHEN s >= 3600 THEN (s // 3600) || ' h ago' WHEN s >= 60 THEN (s // 60) || ' min ago' ELSE s || ' s ago' END AS ago FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-01-31' - ts)) AS BIGINT) AS s FROM events)", model=False)
+def relative_times(m: Model) -> DataFrame:
+    return m.raw("events").select("event_id", relative_time(F.col("ts"), at(NOW)).alias("ago"))
+
+
 # ---------------------------------------------------------------- state
 
 

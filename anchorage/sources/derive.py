@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from anchorage.functions.urls import host, slug
 from anchorage.operators.admission import at
 from anchorage.operators.state import classified_broken, with_folded_state
-from anchorage.operators.sync import first_of_each, new_links
-from anchorage.plans.materialize import cut, numbered
+from anchorage.operators.sync import first_of_each, with_new_state
+from anchorage.plans.materialize import numbered
 from anchorage.settings import COURSE, OTHER
 
 NOW = datetime(2024, 1, 31)
@@ -45,9 +45,7 @@ class Model:
     def sites(self) -> DataFrame:
         hosts = self.raw("pages").select(host("url").alias("slug")).distinct()
         base = F.concat(F.lit("https://"), "slug")
-        return cut(
-            numbered(hosts, ["slug"]).select("id", "slug", base.alias("base_url"), F.concat(base, F.lit("/courses/")).alias("course_index_url"))
-        )
+        return numbered(hosts, ["slug"]).select("id", "slug", base.alias("base_url"), F.concat(base, F.lit("/courses/")).alias("course_index_url"))
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -83,8 +81,7 @@ class Model:
 
     @cached_property
     def unchecked_links(self) -> DataFrame:
-        links = numbered(self.anchors.select("url").distinct(), ["url"])
-        return cut(new_links(links, CRAWLED).join(links, "url").select("id", *new_links(links, CRAWLED).columns))
+        return with_new_state(numbered(self.anchors.select("url").distinct(), ["url"]), CRAWLED)
 
     @cached_property
     def page_links(self) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from anchorage.operators.report import progress_metrics
 from anchorage.settings import BROKEN, CONFIRM_AFTER, GONE, OK, PENDING, UNREACHABLE
 
 STATE = "status string, consecutive_failures int"
@@ -57,4 +58,9 @@ def link_states(checks: DataFrame) -> DataFrame:
     return checks.groupBy("link_id").transformWithStateInPandas(LinkStates(), OUTPUT, "Update", "None")
 
 
+def counted(checks: DataFrame, name: str = "progress") -> DataFrame:
+    """The stream itself, with (checked, not_ok) of every batch among its progress metrics."""
+    return checks.observe(name, *progress_metrics())
+
+
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
