@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import (
-    U64, binary_values, bounded_batches, cut, gram_hashes, hashed_words, list_column, map_batches, mix64, sequence_key, utf8,
+    U64, binary_values, bounded_batches, discard, gram_hashes, hashed_words, list_column, map_batches, mix64, sequence_key, stash, utf8,
 )
 from anchorage.llm.graph import components
 
@@ -193,14 +193,14 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
     several texts, each row has its own text's component.  A null doc_id
     cannot name a component: such rows have none and are kept.  Other columns are ignored; no rows give no rows.
     """
-    found = cut(sketches(documents, params))
-    classes = cut(
+    found = stash(sketches(documents, params))
+    classes = stash(
         found.filter("set_id is not null and doc_id is not null")
         .groupBy("set_id")
         .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least"))
         .select("set_id", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.bands").alias("bands"))
     )
-    stars = components(cut(_links(documents, classes, params)))
+    stars = components(_links(documents, classes, params))
     named = classes.join(stars, classes.rep == stars.id, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.drop("bands").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -213,7 +213,7 @@ def kept_documents(documents: DataFrame, params: Params = Params()) -> DataFrame
     """One document of each group, with all columns as they are; of repeated rows one stays."""
     names = [f"column{k}" for k in range(len(documents.columns))]
     at = dict(zip(documents.columns, names, strict=True))
-    kept = near_duplicates(documents, params).filter("kept").select("doc_id", "text_key").distinct()
+    kept = stash(near_duplicates(documents, params).filter("kept").select("doc_id", "text_key").distinct())
     keyed = documents.toDF(*names).withColumn("own_key", F.xxhash64(utf8(at["text"])))
     same = keyed[at["doc_id"]].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["own_key"] == kept["text_key"])
     once = keyed.join(kept, same, "left_semi").dropDuplicates([at["doc_id"], "own_key"])
@@ -224,11 +224,14 @@ def _links(documents: DataFrame, classes: DataFrame, params: Params) -> DataFram
     """Edges (a, b) between class representatives that span all links within candidate groups."""
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
-    pairs = cut(keys.join(leaders.select("key", "leader"), "key").select("leader", "rep", "n").distinct())
+    pairs = stash(keys.join(leaders.select("key", "leader"), "key").select("leader", "rep", "n").distinct())
     size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     chunks = F.greatest(F.ceil(F.col("m") / params.block_documents), F.ceil(F.col("total") / params.block_shingles)).cast("int")
+    # Few groups need more than one block, so this side of the join is small and most rows find nothing in it.
+    large = size.select("leader", chunks.alias("blocks")).filter("blocks > 1")
     tasks = (
-        pairs.join(size.select("leader", chunks.alias("chunks")), "leader")
+        pairs.join(large, "leader", "left")
+        .withColumn("chunks", F.coalesce("blocks", F.lit(1)))
         .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("leader", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep")
@@ -237,4 +240,7 @@ def _links(documents: DataFrame, classes: DataFrame, params: Params) -> DataFram
     rows = tasks.hint("shuffle_hash").join(texts, "rep").select("leader", "i", "j", "chunk", "rep", "text")
     bounded_batches(documents.sparkSession)
     # Of one class, only the smallest id is here; a document with several texts appears once with each.
-    return rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j").mapInArrow(_forest(params), "a long, b long")
+    ordered = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    edges = stash(ordered.mapInArrow(_forest(params), "a long, b long"))
+    discard(pairs)
+    return edges
