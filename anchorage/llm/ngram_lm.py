@@ -29,6 +29,7 @@ from anchorage.llm.common import U64, binary_values, bounded_batches, byte_array
 
 _END = U64(0x5DEECE66D1234568)
 _SEGMENT_BITS = 20
+_MASK = (1 << _SEGMENT_BITS) - 1
 _ONE, _TWO = 0, 1  # the lowest bit of a key: words and pairs
 
 
@@ -36,16 +37,16 @@ _ONE, _TWO = 0, 1  # the lowest bit of a key: words and pairs
 class Params:
     #: Ratio of neighbouring levels.
     base: float = 1.5
-    #: Probes of an event, bits of the filter for each, and the most bits altogether (64 MiB).
+    #: Probes of an event, bits of the filter for each, and the most bits altogether (40 MiB).
     probes: int = 6
-    bits_per_event: int = 10
-    max_bits: int = 1 << 29
+    bits_per_event: int = 9
+    max_bits: int = 320 << 20
     #: Weight of pairs against words.
     pair_weight: float = 0.3
     #: Words whose exact counts are broadcast for the base score; all others are joined.
-    head_words: int = 1 << 19
+    head_words: int = 1 << 18
     #: Keys a worker gathers before it sums them.
-    gather: int = 4_000_000
+    gather: int = 3_000_000
 
 
 def _keys(text_batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,27 +93,30 @@ class LogBloom:
     def __init__(self, segments: np.ndarray, skip: tuple[int, int], probes: int, base: float) -> None:
         self.segments = segments  # one row of bytes a segment
         self.skip, self.probes, self.base = skip, probes, base
-        self.shift = U64(64 - (len(segments) - 1).bit_length())
 
     @staticmethod
-    def places(keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-        """Bit of a segment that a probe of an event looks at."""
-        salted = keys * U64(0xD6E8FEB86659FD93) + U64(level * 0x1F123BB5 + probe * 0x2545F4914F6CDD1D)
-        return (mix64(salted) >> U64(64 - _SEGMENT_BITS)).astype(np.int64)
+    def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First bit of a segment that an event looks at, and the distance to the next."""
+        salted = mix64(keys * U64(0xD6E8FEB86659FD93) + U64(level * 0x1F123BB5))
+        return (salted >> U64(64 - _SEGMENT_BITS)).astype(np.uint32), (salted & U64(_MASK)).astype(np.uint32) | np.uint32(1)
 
     @staticmethod
     def segment(keys: np.ndarray, n_segments: int) -> np.ndarray:
-        return (keys >> U64(64 - (n_segments - 1).bit_length())).astype(np.int64) if n_segments > 1 else np.zeros(len(keys), np.int64)
+        return ((keys >> U64(32)) * U64(n_segments) >> U64(32)).astype(np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of every key; 0 for those that were never put in."""
+        flat = self.segments.reshape(-1)
         out = np.zeros(len(keys), np.int64)
-        at, own, row, level = np.arange(len(keys)), keys, self.segment(keys, len(self.segments)), 1
+        at, own, level = np.arange(len(keys)), keys, 1
+        start = self.segment(keys, len(self.segments)) << (_SEGMENT_BITS - 3)
         while len(own):
+            place, step = self.places(own, level)
             for probe in range(self.probes):
-                place = self.places(own, level, probe)
-                there = (self.segments[row, place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
-                at, own, row = at[there], own[there], row[there]
+                there = flat[start + (place >> 3)] >> (place & 7).astype(np.uint8) & 1 != 0
+                if probe == 0 or probe == self.probes - 1 or not there.all():
+                    at, own, start, place, step = at[there], own[there], start[there], place[there], step[there]
+                place = (place + step) & np.uint32(_MASK)
             out[at] = level
             level += 1
         seen = out > 0
@@ -146,10 +150,8 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
 
     # Pairs seen once are not held; from there on, what does not fit is left out level by level.
     skip = next(s for s in ((t, t + 1) for t in range(top + 1)) if events(s) * params.bits_per_event <= params.max_bits or s[0] == top)
-    wanted = max(1, -(-events(skip) * params.bits_per_event >> _SEGMENT_BITS))
-    n_segments = 1 << (wanted - 1).bit_length()
-    shift = 64 - (n_segments - 1).bit_length()
-    segment = F.shiftrightunsigned("key", shift).cast("int") if n_segments > 1 else F.lit(0)
+    n_segments = max(1, -(-events(skip) * params.bits_per_event >> _SEGMENT_BITS))
+    segment = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * n_segments, 32).cast("int")
     put = F.col("level") - F.when(F.col("kind") == _ONE, F.lit(skip[_ONE])).otherwise(F.lit(skip[_TWO]))
     rows = leveled.select("key", segment.alias("segment"), put.alias("put")).filter("put > 0").repartition("segment")
     probes = params.probes
@@ -164,17 +166,19 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
                 here = where == s
                 own, left, at = keys[here], put[here], 1
                 while len(own):
-                    for probe in range(probes):
-                        place = LogBloom.places(own, at, probe)
+                    place, step = LogBloom.places(own, at)
+                    for _ in range(probes):
                         np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+                        place = (place + step) & np.uint32(_MASK)
                     own, left = own[left > at], left[left > at]
                     at += 1
         for s, bits in filters.items():
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
     segments = np.zeros((n_segments, 1 << _SEGMENT_BITS >> 3), np.uint8)
-    for s, bits in rows.mapInArrow(fill, "segment int, bits binary").toLocalIterator():
-        segments[s] = np.frombuffer(bits, np.uint8)
+    built = rows.mapInArrow(fill, "segment int, bits binary").toArrow()
+    for s, bits in zip(built["segment"].to_pylist(), built["bits"], strict=True):
+        segments[s] = np.frombuffer(bits.as_buffer(), np.uint8)
     words = {lv: held for (kind, lv), held in sizes.items() if kind == _ONE}
     return LogBloom(segments, skip, params.probes, params.base), words
 
