@@ -308,16 +308,23 @@ def main_text(pages: DataFrame) -> DataFrame:
     Repeated rows have equal results; other columns are ignored.
     """
     deleted = neighbours(pages)
-    rows = pages.select("page_id", "url", "html", page_key().alias("page_key")).join(deleted.hint("shuffle_hash"), "page_key", "left")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for html, gone in zip(batch.column(2), batch.column(3), strict=True):
-            found = [b[0] for b in candidates(html.as_py() or "")]
-            skip = set(gone.as_py() or ())
-            texts.append("\n".join(b for k, b in enumerate(found) if k not in skip))
-        sizes = pa.array([len(t) for t in texts], pa.int64())
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
-
     kind = pages.schema["page_id"].dataType.simpleString()
-    return map_batches(rows.select("page_id", "url", "html", "deleted"), run, f"page_id {kind}, url string, text string, n_chars long")
+
+    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines, free = [], []
+        for html in batch.column(2):
+            found = candidates(html.as_py() or "")
+            lines.append([b[0] for b in found])
+            free.append(any(not b[1] or b[2] for b in found))
+        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(lines, pa.list_(pa.string())), pa.array(free, pa.bool_())]
+        return pa.record_batch(columns, names=["page_id", "url", "page_key", "lines", "free"])
+
+    schema = f"page_id {kind}, url string, page_key long, lines array<string>, free boolean"
+    read_pages = map_batches(pages.select("page_id", "url", "html", page_key().alias("page_key")), read, schema)
+    # Pages of which no line may be deleted need no join: they are read once more instead of travelling.
+    sure = read_pages.filter("not free").select("page_id", "url", "lines")
+    rest = read_pages.filter("free").join(deleted.hint("shuffle_hash"), "page_key", "left")
+    left = F.filter("lines", lambda line, k: ~F.coalesce(F.array_contains("deleted", k), F.lit(False)))
+    both = sure.unionByName(rest.select("page_id", "url", left.alias("lines")))
+    text = F.array_join("lines", "\n")
+    return both.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
