@@ -3,9 +3,9 @@
 Counts of words and word pairs are gathered from the whole training part and
 quantised on a logarithmic scale.  A pair of level q is put into a Bloom filter
 as the q events (pair, 1) ... (pair, q); its level is read back by probing for
-one event after the other until one is missing.  The filter is split into
-segments by hash, so it is built where the counts are and each segment is
-written once.  Its size is chosen from the number of events and never exceeds
+one event after the other until one is missing.  All bits of an event lie in
+one 64-bit word, so a probe is one look.  The filter is split into segments by
+hash, so it is built where the counts are and each segment is written once.  Its size is chosen from the number of events and never exceeds
 ``max_bits``; if all events do not fit, the rarest levels of words and pairs
 stay out, and count as unseen.
 
@@ -29,7 +29,6 @@ from anchorage.llm.common import U64, binary_values, bounded_batches, byte_array
 
 _END = U64(0x5DEECE66D1234568)
 _SEGMENT_BITS = 20
-_MASK = (1 << _SEGMENT_BITS) - 1
 _ONE, _TWO = 0, 1  # the lowest bit of a key: words and pairs
 
 
@@ -37,10 +36,10 @@ _ONE, _TWO = 0, 1  # the lowest bit of a key: words and pairs
 class Params:
     #: Ratio of neighbouring levels.
     base: float = 1.5
-    #: Probes of an event, bits of the filter for each, and the most bits altogether (40 MiB).
-    probes: int = 6
-    bits_per_event: int = 9
-    max_bits: int = 320 << 20
+    #: Bits that an event sets, bits of the filter for each event, and the most bits altogether (56 MiB).
+    probes: int = 5
+    bits_per_event: int = 11
+    max_bits: int = 448 << 20
     #: Weight of pairs against words.
     pair_weight: float = 0.3
     #: Words whose exact counts are broadcast for the base score; all others are joined.
@@ -91,14 +90,17 @@ class LogBloom:
     """Levels of 64-bit keys.  ``skip`` is how many of the lowest levels, for words and for pairs, were left out."""
 
     def __init__(self, segments: np.ndarray, skip: tuple[int, int], probes: int, base: float) -> None:
-        self.segments = segments  # one row of bytes a segment
+        self.segments = segments  # one row of 64-bit words a segment
         self.skip, self.probes, self.base = skip, probes, base
 
     @staticmethod
-    def places(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First bit of a segment that an event looks at, and the distance to the next."""
+    def places(keys: np.ndarray, level: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word of a segment that an event is in, and the bits that it sets there."""
         salted = mix64(keys * U64(0xD6E8FEB86659FD93) + U64(level * 0x1F123BB5))
-        return (salted >> U64(64 - _SEGMENT_BITS)).astype(np.uint32), (salted & U64(_MASK)).astype(np.uint32) | np.uint32(1)
+        bits = U64(1) << (salted & U64(63))
+        for k in range(1, probes):
+            bits |= U64(1) << (salted >> U64(6 * k) & U64(63))
+        return (salted >> U64(64 - _SEGMENT_BITS + 6)).astype(np.int64), bits
 
     @staticmethod
     def segment(keys: np.ndarray, n_segments: int) -> np.ndarray:
@@ -109,14 +111,11 @@ class LogBloom:
         flat = self.segments.reshape(-1)
         out = np.zeros(len(keys), np.int64)
         at, own, level = np.arange(len(keys)), keys, 1
-        start = self.segment(keys, len(self.segments)) << (_SEGMENT_BITS - 3)
+        start = self.segment(keys, len(self.segments)) << (_SEGMENT_BITS - 6)
         while len(own):
-            place, step = self.places(own, level)
-            for probe in range(self.probes):
-                there = flat[start + (place >> 3)] >> (place & 7).astype(np.uint8) & 1 != 0
-                if probe == 0 or probe == self.probes - 1 or not there.all():
-                    at, own, start, place, step = at[there], own[there], start[there], place[there], step[there]
-                place = (place + step) & np.uint32(_MASK)
+            word, bits = self.places(own, level, self.probes)
+            there = flat[start + word] & bits == bits
+            at, own, start = at[there], own[there], start[there]
             out[at] = level
             level += 1
         seen = out > 0
@@ -162,23 +161,20 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
             keys = batch.column(0).to_numpy().view(U64)
             where, put = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for s in np.unique(where):
-                bits = filters.setdefault(int(s), np.zeros(1 << _SEGMENT_BITS >> 3, np.uint8))
+                bits = filters.setdefault(int(s), np.zeros(1 << _SEGMENT_BITS >> 6, U64))
                 here = where == s
                 own, left, at = keys[here], put[here], 1
                 while len(own):
-                    place, step = LogBloom.places(own, at)
-                    for _ in range(probes):
-                        np.bitwise_or.at(bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
-                        place = (place + step) & np.uint32(_MASK)
+                    np.bitwise_or.at(bits, *LogBloom.places(own, at, probes))
                     own, left = own[left > at], left[left > at]
                     at += 1
         for s, bits in filters.items():
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
-    segments = np.zeros((n_segments, 1 << _SEGMENT_BITS >> 3), np.uint8)
+    segments = np.zeros((n_segments, 1 << _SEGMENT_BITS >> 6), U64)
     built = rows.mapInArrow(fill, "segment int, bits binary").toArrow()
     for s, bits in zip(built["segment"].to_pylist(), built["bits"], strict=True):
-        segments[s] = np.frombuffer(bits.as_buffer(), np.uint8)
+        segments[s] = np.frombuffer(bits.as_buffer(), U64)
     words = {lv: held for (kind, lv), held in sizes.items() if kind == _ONE}
     return LogBloom(segments, skip, params.probes, params.base), words
 
