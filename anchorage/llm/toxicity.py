@@ -23,6 +23,8 @@ from anchorage.llm.common import U64, binary_values, bounded_batches, byte_array
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), *range(128, 256)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 @dataclass(frozen=True)
@@ -42,10 +44,16 @@ class Params:
 
 
 def features(text: memoryview | bytes, bits: int) -> np.ndarray:
-    """Sorted distinct features of a text: its words in lower case without ASCII signs and digits, hashed to ``bits`` bits."""
+    """Sorted distinct features of a text, hashed to ``bits`` bits.
+
+    They are its words in lower case without ASCII signs and digits, and the
+    runs of signs between them.
+    """
     data = byte_array(text, lower=True)
-    clean = np.where(_LETTER[data], data, np.uint8(32))
-    return np.unique(word_hashes(clean, *word_bounds(clean)) >> U64(64 - bits)).astype(np.int32)
+    words = np.where(_LETTER[data], data, np.uint8(32))
+    signs = np.where(_SIGN[data], data, np.uint8(32))
+    found = [word_hashes(part, *word_bounds(part)) for part in (words, signs)]
+    return np.unique(np.concatenate(found) >> U64(64 - bits)).astype(np.int32)
 
 
 @dataclass
