@@ -17,7 +17,7 @@ from anchorage.functions.urls import host, slug
 from anchorage.operators.admission import at
 from anchorage.operators.state import classified_broken, with_folded_state
 from anchorage.operators.sync import first_of_each, with_new_state
-from anchorage.plans.materialize import numbered
+from anchorage.plans.materialize import cut, numbered
 from anchorage.settings import COURSE, OTHER
 
 NOW = datetime(2024, 1, 31)
@@ -87,10 +87,11 @@ class Model:
     def page_links(self) -> DataFrame:
         placed = first_of_each(self.anchors).join(self.unchecked_links.select(F.col("id").alias("link_id"), "url"), "url")
         nothing = F.lit(None).cast("string")
-        return placed.select(
+        stored = placed.select(
             (F.col("page_id") * 100_000 + F.col("ord")).alias("id"), "page_id", "link_id", "day_context", nothing.alias("day_label"),
             F.col("text").alias("link_text"), nothing.alias("context_before"), nothing.alias("context_after"), at(CRAWLED).alias("last_seen_at"),
         )
+        return cut(stored)  # a stored table: read more than once by most queries
 
     @cached_property
     def checks(self) -> DataFrame:
@@ -106,7 +107,7 @@ class Model:
     @cached_property
     def links(self) -> DataFrame:
         """Links with the state of their history, without jitter."""
-        return with_folded_state(self.unchecked_links, self.checks, jitter_share=0)
+        return cut(with_folded_state(self.unchecked_links, self.checks, jitter_share=0))
 
     @cached_property
     def hosts_checked(self) -> DataFrame:
