@@ -139,14 +139,18 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         .filter("first < last")
         .select("anchor", "first", (F.col("a") == F.col("b")).alias("alike"))
     )
+    # Stored first, both sides of the join are plain shuffles, of which Spark splits what one frequent anchor makes large.
+    groups = stash(groups)
     shared = hits.join(groups, "anchor").filter("not alike or first < doc_id")
     shared = stash(shared.select("doc_id", "text_key", "places", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around")]))
     discard(found)
+    discard(groups)
     differing = shared.filter("not alike")
-    owners = differing.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner"))
+    owners = stash(differing.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner")))
     judged = differing.join(owners, ["anchor", "around"]).select("doc_id", "text_key", "places", (F.col("doc_id") == F.col("owner")).alias("own"))
     judged = stash(judged.unionByName(shared.filter("alike").select("doc_id", "text_key", "places", F.lit(False).alias("own"))))
     discard(shared)
+    discard(owners)
     packed = stash(_runs(judged.filter("own"), documents, window, gram))
     runs = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "runs")).alias("x"))
     runs = runs.select("doc_id", "text_key", F.col("x.starts").alias("start"), F.col("x.runs").alias("run"))
