@@ -21,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import U64, binary_values, bounded_batches, byte_array, cut, map_batches, mix64, utf8, word_bounds, word_hashes
+from anchorage.llm.common import (
+    U64, binary_values, bounded_batches, byte_array, cut, map_batches, mix64, stash, utf8, word_bounds, word_hashes,
+)
 
 _END = U64(0x5DEECE66D1234568)
 _SEGMENT_BITS = 20
@@ -232,10 +233,9 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     spark = documents.sparkSession
     bounded_batches(spark)
     # Pairs seen once are not held by the filter; dropped here, they need no room.
-    kept = counts(rows.filter("not held_out").select("text"), params).filter("key % 2 = 0 or n > 1").persist(StorageLevel.DISK_ONLY)
-    words = cut(kept.filter("key % 2 = 0"))
+    kept = stash(counts(rows.filter("not held_out").select("text"), params).filter("key % 2 = 0 or n > 1"))
+    words = kept.filter("key % 2 = 0")
     bloom, levels = build(kept, params)
-    kept.unpersist()
 
     total, distinct = sum(n for _, n in levels.values()), sum(c for c, _ in levels.values())
     once = levels.get(1, (0, 0))[0]
