@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from anchorage.llm.common import list_column, map_batches
 
 #: Encoded pre-tokens a Python worker remembers, and the longest that it does.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 CACHE_BYTES = 64
 
 
