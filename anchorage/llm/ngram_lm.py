@@ -46,7 +46,7 @@ class Params:
     #: Words whose exact counts are broadcast for the base score; all others are joined.
     head_words: int = 1 << 18
     #: Keys a worker gathers before it sums them.
-    gather: int = 3_000_000
+    gather: int = 2_000_000
 
 
 def _keys(text_batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
