@@ -7,7 +7,8 @@ one event after the other until one is missing.  All bits of an event lie in
 one 64-bit word, so a probe is one look.  The filter is split into segments by
 hash, so it is built where the counts are and each segment is written once.  Its size is chosen from the number of events and never exceeds
 ``max_bits``; if all events do not fit, the rarest levels of words and pairs
-stay out, and count as unseen.
+stay out.  What a text then does not find in the filter is joined to the exact
+counts of these levels, so scores do not depend on what fits.
 
 The score interpolates the pair's share of its history with a word model whose
 unseen words have the mass of words seen once.  Pairs are counted from the
@@ -125,6 +126,10 @@ class LogBloom:
         out[seen & pair] += self.skip[_TWO]
         return out
 
+    def level_of(self, n: np.ndarray) -> np.ndarray:
+        """Level of a count, 0 for 0."""
+        return np.where(n > 0, np.floor(np.log(np.maximum(n, 1)) / np.log(self.base) + 1e-9) + 1, 0).astype(np.int64)
+
     def least(self, levels: np.ndarray) -> np.ndarray:
         """The smallest count of a level, 0 for level 0."""
         return np.where(levels > 0, np.ceil(self.base ** (levels - 1.0) - 1e-9), 0)
@@ -134,13 +139,16 @@ class LogBloom:
         return np.where(levels > 0, np.ceil(self.base ** (levels + 0.0) - 1e-9) - 1, 0)
 
 
+def _level(params: Params):
+    return (F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(params.base)) + 1e-9) + 1).cast("int")
+
+
 def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
     """The filter of counts (key, n), and what its words' levels hold.
 
     The driver gets one row for each level and the filter's segments, at most ``max_bits``.
     """
-    level = (F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(params.base)) + 1e-9) + 1).cast("int")
-    leveled = found.select("key", "n", (F.col("key").bitwiseAND(F.lit(1))).cast("int").alias("kind"), level.alias("level"))
+    leveled = found.select("key", "n", (F.col("key").bitwiseAND(F.lit(1))).cast("int").alias("kind"), _level(params).alias("level"))
     by_level = leveled.groupBy("kind", "level").agg(F.count(F.lit(1)), F.sum("n")).collect()
     sizes = {(r[0], r[1]): (r[2], r[3]) for r in by_level}
     top = max((k[1] for k in sizes), default=0)
@@ -148,7 +156,7 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
     def events(skip: tuple[int, int]) -> int:
         return sum(n * (lv - skip[kind]) for (kind, lv), (n, _) in sizes.items() if lv > skip[kind])
 
-    # Pairs seen once are not held; from there on, what does not fit is left out level by level.
+    # Pairs seen once are not held; from there on, what does not fit is left to a join level by level.
     skip = next(s for s in ((t, t + 1) for t in range(top + 1)) if events(s) * params.bits_per_event <= params.max_bits or s[0] == top)
     n_segments = max(1, -(-events(skip) * params.bits_per_event >> _SEGMENT_BITS))
     segment = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * n_segments, 32).cast("int")
@@ -191,29 +199,69 @@ class Scorer:
     log_total: float  # log10 of the base model's denominator
     pair_weight: float
 
+    def logs(self, pair: np.ndarray, word: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """Log-probability of tokens by the levels of their pair, of themselves and of the word before."""
+        p = self.word[np.minimum(word, len(self.word) - 1)]
+        most = self.bloom.most(history)
+        share = np.minimum(1, self.bloom.least(pair) / np.maximum(most, 1))
+        return np.log10(np.where(most > 0, self.pair_weight * share + (1 - self.pair_weight) * p, p))
+
     def score(self, texts: pa.Array) -> tuple:
-        """For each text: tokens, known head tokens, base score of head tokens, score; and other words with their texts and counts."""
+        """For each text: tokens, known head tokens, base score of head tokens, score of settled tokens; and what is open.
+
+        Other words come with their texts.  Of tokens that the filter leaves open there are the texts and three places each,
+        for pair, word and history: a level, or -1 - k for the k-th key that the text asks for; and the keys with their texts.
+        """
         one, two, owner = _keys(texts)
         n = len(texts)
         distinct, index = np.unique(one, return_inverse=True)
         level = self.bloom.levels(distinct)
-        word = self.word[np.minimum(level, len(self.word) - 1)]
-        most = self.bloom.most(level)
-        history = most[np.concatenate((index[:1], index[:-1]))]
-        first = np.flatnonzero(np.diff(owner, prepend=-1))
-        last = np.append(first[1:], len(one)) - 1
-        history[first] = most[index[last]]
-        pair = self.bloom.least(self.bloom.levels(two))
-        p = word[index]
-        mixed = np.where(history > 0, self.pair_weight * np.minimum(1, pair / np.maximum(history, 1)) + (1 - self.pair_weight) * p, p)
-        score = np.bincount(owner, np.log10(mixed), n)
         at = np.minimum(np.searchsorted(self.head_keys, distinct), max(len(self.head_keys) - 1, 0))
         head = self.head_keys[at] == distinct if len(self.head_keys) else np.zeros(len(distinct), bool)
-        logs = np.where(head, np.log10((self.head_counts[at] if len(self.head_keys) else 0) + 0.1) - self.log_total, 0.0)
+        counted = self.head_counts[at] if len(self.head_keys) else np.zeros(len(distinct), np.int64)
+        level[head] = self.bloom.level_of(counted[head])
+        asked = (level == 0) & ~head & (self.bloom.skip[_ONE] > 0)
+        before = np.concatenate((index[:1], index[:-1]))
+        first = np.flatnonzero(np.diff(owner, prepend=-1))
+        before[first] = index[np.append(first[1:], len(one)) - 1]
+        pair = self.bloom.levels(two)
+        # A pair has been seen only if both of its words have.
+        possible = ((level > 0) | asked)[index] & ((level > 0) | asked)[before]
+        ask_pair = (pair == 0) & possible & (self.bloom.skip[_TWO] > 1)
+        is_open = ask_pair | asked[index] | asked[before]
+        settled = np.flatnonzero(~is_open)
+        score = np.bincount(owner[settled], self.logs(pair[settled], level[index[settled]], level[before[settled]]), n).astype(np.float64)
+        left = np.flatnonzero(is_open)
+        places = np.stack((pair[left], level[index[left]], level[before[left]]), axis=1)
+        ask = np.stack((ask_pair[left], asked[index[left]], asked[before[left]]), axis=1)
+        keys = np.stack((two[left], one[left], distinct[before[left]]), axis=1)[ask]
+        texts_of = np.repeat(owner[left], ask.sum(axis=1))
+        order = np.lexsort((keys, texts_of))
+        keys, texts_of = keys[order], texts_of[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (texts_of[1:] != texts_of[:-1])
+        ask_keys, ask_texts = keys[new], texts_of[new]
+        number = np.empty(len(keys), np.int64)
+        number[order] = np.cumsum(new) - 1 - np.searchsorted(ask_texts, texts_of)
+        places[ask] = -1 - number
+        logs = np.where(head, np.log10(counted + 0.1) - self.log_total, 0.0)
         base = np.bincount(owner, logs[index], n)
         known = np.bincount(owner, head[index], n).astype(np.int64)
         rest = np.flatnonzero(~head[index])
-        return np.bincount(owner, minlength=n), known, base, score, owner[rest], one[rest]
+        return np.bincount(owner, minlength=n), known, base, score, (owner[rest], one[rest]), (owner[left], places), (ask_texts, ask_keys)
+
+    def answered(self, places: np.ndarray, numbers: np.ndarray, counted: np.ndarray) -> float:
+        """Score of the open tokens of a text, of which the asked keys ``numbers`` have been counted and the others have not."""
+        levels = np.zeros(max(-int(places.min(initial=0)), 1), np.int64)
+        levels[numbers] = self.bloom.level_of(counted)
+        found = np.where(places < 0, levels[np.maximum(-1 - places, 0)], places)
+        return float(self.logs(found[:, 0], found[:, 1], found[:, 2]).sum())
+
+
+def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """A list column of ``n`` rows from the values and their rows, in order."""
+    sizes = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(values, kind))
 
 
 def _log10(column):
@@ -239,12 +287,11 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     total, distinct = sum(n for _, n in levels.values()), sum(c for c, _ in levels.values())
     once = levels.get(1, (0, 0))[0]
-    held = sum(n for lv, (_, n) in levels.items() if lv > bloom.skip[_ONE])
-    unseen = (total - held + once) / (total + once) if total + once else 1.0
+    unseen = once / (total + once) if total + once else 1.0
     word = np.full(max(levels, default=0) + 2, max(unseen, 0.1 / (total + 1)))
-    for lv in range(bloom.skip[_ONE] + 1, len(word)):
+    for lv in range(1, len(word)):
         c, n = levels.get(lv, (0, 0))
-        word[lv] = (1 - unseen) * (n / c if c else float(bloom.least(np.array(lv)))) / max(held, 1)
+        word[lv] = (1 - unseen) * (n / c if c else float(bloom.least(np.array(lv)))) / max(total, 1)
     at_least, size = 0, 0
     for lv in sorted(levels, reverse=True):
         size += levels[lv][0]
@@ -259,21 +306,37 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     shared = spark.sparkContext.broadcast(Scorer(bloom, word, keys[order], n[order], log_total, params.pair_weight))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, known, base, score, owner, other = shared.value.score(batch.column(2))
-        sizes = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=batch.num_rows)))).astype(np.int32)
-        rest = pa.ListArray.from_arrays(pa.array(sizes), pa.array(other.view(np.int64)))
-        columns = [batch.column(0), batch.column(1), *(pa.array(c) for c in (tokens.astype(np.int64), known, base, score)), rest]
-        return pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+        tokens, known, base, score, rest, (owner, places), asks = shared.value.score(batch.column(2))
+        n = batch.num_rows
+        lists = [_lists(rest[0], rest[1].view(np.int64), n, pa.int64())]
+        lists += [_lists(np.repeat(owner, 3), places.astype(np.int32).reshape(-1), n, pa.int32()), _lists(asks[0], asks[1].view(np.int64), n, pa.int64())]
+        columns = [batch.column(0), batch.column(1), *(pa.array(c) for c in (tokens.astype(np.int64), known, base, score)), *lists]
+        return pa.record_batch(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rest", "places", "asks"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, places array<int>, asks array<long>"
     scored = cut(map_batches(rows, run, schema)).withColumn("row", F.monotonically_increasing_id())
     others = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
     n = F.coalesce("n", F.lit(0))
     joined = others.join(words, "key", "left").groupBy("row").agg(
         F.sum(F.col("tf") * (_log10(n + 0.1) - log_total)).alias("more_base"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("more_known")
     )
-    return scored.join(joined, "row", "left").select(
+    # The levels that the filter leaves out, and what the texts ask for of them.
+    left_out = kept.filter(_level(params) <= F.when(F.col("key") % 2 == 0, F.lit(bloom.skip[_ONE])).otherwise(F.lit(bloom.skip[_TWO])))
+    asked = scored.select("row", F.posexplode("asks").alias("number", "key")).join(left_out, "key")
+    answers = asked.groupBy("row").agg(F.collect_list("number").alias("numbers"), F.collect_list("n").alias("counted"))
+
+    def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
+        more = []
+        for places, numbers, counted in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            numbers, counted = (np.array(c.as_py() or [], np.int64) for c in (numbers, counted))
+            more.append(shared.value.answered(places.values.to_numpy().astype(np.int64).reshape(-1, 3), numbers, counted))
+        return pa.record_batch([batch.column(0), pa.array(more, pa.float64())], names=["row", "more_score"])
+
+    open_rows = scored.filter("size(places) > 0").select("row", "places").join(answers, "row", "left")
+    settled = map_batches(open_rows.select("row", "places", "numbers", "counted"), answer, "row long, more_score double")
+    return scored.drop("places", "asks", "rest").join(joined, "row", "left").join(settled, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
