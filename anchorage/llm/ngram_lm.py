@@ -11,7 +11,8 @@ stay out.  What a text then does not find in the filter is joined to the exact
 counts of these levels, so scores do not depend on what fits.
 
 The score interpolates the pair's share of its history with a word model whose
-unseen words have the mass of words seen once.  Pairs are counted from the
+unseen words share the mass of words seen once among as many words as are
+estimated to exist unseen.  Pairs are counted from the
 lower end of their level and histories from the upper end, so probabilities do
 not add up to more than 1 but for false positives.
 """
@@ -188,6 +189,23 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
     return LogBloom(segments, skip, params.probes, params.base), words
 
 
+def word_probabilities(levels: dict, bloom: LogBloom) -> tuple[np.ndarray, float]:
+    """Probability of a word of each level, and the number of words of level 0.  Altogether they have the mass 1.
+
+    Unseen words together have the mass of words seen once (Good-Turing).  Their number is Chao's estimate from the words
+    seen once and twice, and at least that of words seen once, so that none is likelier than a word seen once.
+    """
+    total = sum(n for _, n in levels.values())
+    once, twice = (levels.get(int(bloom.level_of(np.array(n))), (0, 0))[0] for n in (1, 2))
+    mass = max(once, 0.1) / (total + max(once, 0.1))
+    types = max(once * (once - 1) / (2 * (twice + 1)), once, 1.0)
+    word = np.full(max(levels, default=0) + 2, mass / types)
+    for lv in range(1, len(word)):
+        c, n = levels.get(lv, (0, 0))
+        word[lv] = (1 - mass) * (n / c if c else float(bloom.least(np.array(lv)))) / max(total, 1)
+    return word, types
+
+
 @dataclass(frozen=True)
 class Scorer:
     """What workers get: the filter, log-probabilities by word level and exact counts of head words."""
@@ -286,12 +304,7 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     bloom, levels = build(kept, params)
 
     total, distinct = sum(n for _, n in levels.values()), sum(c for c, _ in levels.values())
-    once = levels.get(1, (0, 0))[0]
-    unseen = once / (total + once) if total + once else 1.0
-    word = np.full(max(levels, default=0) + 2, max(unseen, 0.1 / (total + 1)))
-    for lv in range(1, len(word)):
-        c, n = levels.get(lv, (0, 0))
-        word[lv] = (1 - unseen) * (n / c if c else float(bloom.least(np.array(lv)))) / max(total, 1)
+    word, _ = word_probabilities(levels, bloom)
     at_least, size = 0, 0
     for lv in sorted(levels, reverse=True):
         size += levels[lv][0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from anchorage.llm import ngram_lm
@@ -29,3 +30,11 @@ def scored(spark):
 def test_scores_do_not_depend_on_what_fits_the_filter(scored):
     full, tight = scored
     assert max(abs(tight[k] - full[k]) / abs(full[k]) for k in full) < 1e-3
+
+
+def test_words_are_a_distribution():
+    bloom = ngram_lm.LogBloom(np.zeros((1, 1), np.uint64), (0, 1), 5, 1.5)
+    for levels in ({1: (500, 500), 2: (90, 180), 9: (3, 100)}, {1: (2, 2), 2: (5, 10)}, {3: (4, 12)}, {}):
+        word, types = ngram_lm.word_probabilities(levels, bloom)
+        assert abs(types * word[0] + sum(c * word[lv] for lv, (c, _) in levels.items()) - 1) < 1e-9
+        assert word[0] <= word[1] or not levels
