@@ -8,7 +8,9 @@ one 64-bit word, so a probe is one look.  The filter is split into segments by
 hash, so it is built where the counts are and each segment is written once.  Its size is chosen from the number of events and never exceeds
 ``max_bits``; if all events do not fit, the rarest levels of words and pairs
 stay out.  What a text then does not find in the filter is joined to the exact
-counts of these levels, so scores do not depend on what fits.
+counts of these levels, so scores do not depend on what fits.  Pairs seen once
+are never in the filter.  In a text that has been counted, a pair that is not
+found has been seen once; those of other texts are joined, too.
 
 The score interpolates the pair's share of its history with a word model whose
 unseen words share the mass of words seen once among as many words as are
@@ -19,6 +21,7 @@ not add up to more than 1 but for false positives.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,27 +69,36 @@ def _keys(text_batch: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counts(documents: DataFrame, params: Params) -> DataFrame:
-    """(key, n): how often each word and each pair occurs in (text as UTF-8)."""
+    """(key, n, asked): how often each word and each pair occurs in rows of (text as UTF-8, held_out) that are not held out.
+
+    ``asked`` tells whether a row that is held out has the pair.  Pairs that only such rows have are listed with 0.
+    """
 
     def run(batches):
-        held, size = [], 0
+        held, marked, size = [], [], 0
 
-        def summed() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+        def summed() -> Iterator[pa.RecordBatch]:
+            if held:
+                keys, n = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+            if marked:
+                keys = np.unique(np.concatenate(marked))
+                yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=["key", "n"])
 
         for batch in batches:
             if batch.num_rows:
-                one, two, _ = _keys(batch.column(0))
-                held += [one, two]
+                one, two, owner = _keys(batch.column(0))
+                out = batch.column(1).to_numpy(zero_copy_only=False)[owner]
+                held += [one[~out], two[~out]]
+                marked.append(two[out])
                 size += len(one) + len(two)
                 if size >= params.gather:
-                    yield summed()
-                    held, size = [], 0
-        if held:
-            yield summed()
+                    yield from summed()
+                    held, marked, size = [], [], 0
+        yield from summed()
 
-    return documents.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = documents.select("text", "held_out").mapInArrow(run, "key long, n long")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), (F.min("n") == 0).alias("asked"))
 
 
 class LogBloom:
@@ -157,7 +169,7 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
     def events(skip: tuple[int, int]) -> int:
         return sum(n * (lv - skip[kind]) for (kind, lv), (n, _) in sizes.items() if lv > skip[kind])
 
-    # Pairs seen once are not held; from there on, what does not fit is left to a join level by level.
+    # Pairs seen once need no filter; from there on, what does not fit is left to a join level by level.
     skip = next(s for s in ((t, t + 1) for t in range(top + 1)) if events(s) * params.bits_per_event <= params.max_bits or s[0] == top)
     n_segments = max(1, -(-events(skip) * params.bits_per_event >> _SEGMENT_BITS))
     segment = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * n_segments, 32).cast("int")
@@ -224,7 +236,7 @@ class Scorer:
         share = np.minimum(1, self.bloom.least(pair) / np.maximum(most, 1))
         return np.log10(np.where(most > 0, self.pair_weight * share + (1 - self.pair_weight) * p, p))
 
-    def score(self, texts: pa.Array) -> tuple:
+    def score(self, texts: pa.Array, held_out: np.ndarray) -> tuple:
         """For each text: tokens, known head tokens, base score of head tokens, score of settled tokens; and what is open.
 
         Other words come with their texts.  Of tokens that the filter leaves open there are the texts and three places each,
@@ -245,7 +257,9 @@ class Scorer:
         pair = self.bloom.levels(two)
         # A pair has been seen only if both of its words have.
         possible = ((level > 0) | asked)[index] & ((level > 0) | asked)[before]
-        ask_pair = (pair == 0) & possible & (self.bloom.skip[_TWO] > 1)
+        counted_once = (pair == 0) & ~held_out[owner] & (self.bloom.skip[_TWO] == 1)
+        pair[counted_once] = 1
+        ask_pair = (pair == 0) & possible
         is_open = ask_pair | asked[index] | asked[before]
         settled = np.flatnonzero(~is_open)
         score = np.bincount(owner[settled], self.logs(pair[settled], level[index[settled]], level[before[settled]]), n).astype(np.float64)
@@ -268,12 +282,16 @@ class Scorer:
         rest = np.flatnonzero(~head[index])
         return np.bincount(owner, minlength=n), known, base, score, (owner[rest], one[rest]), (owner[left], places), (ask_texts, ask_keys)
 
-    def answered(self, places: np.ndarray, numbers: np.ndarray, counted: np.ndarray) -> float:
-        """Score of the open tokens of a text, of which the asked keys ``numbers`` have been counted and the others have not."""
+    def answered(self, places: np.ndarray, held_out: bool, numbers: np.ndarray, counted: np.ndarray) -> float:
+        """Score of the open tokens of a text, whose asked keys ``numbers`` have been found with counts.
+
+        Of a text that is not held out, every pair has been counted, and those not found once.
+        """
         levels = np.zeros(max(-int(places.min(initial=0)), 1), np.int64)
         levels[numbers] = self.bloom.level_of(counted)
         found = np.where(places < 0, levels[np.maximum(-1 - places, 0)], places)
-        return float(self.logs(found[:, 0], found[:, 1], found[:, 2]).sum())
+        pair = found[:, 0] if held_out else np.maximum(found[:, 0], 1)
+        return float(self.logs(pair, found[:, 1], found[:, 2]).sum())
 
 
 def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -298,8 +316,8 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     rows = documents.select("doc_id", held_out.alias("held_out"), utf8("text").alias("text"))
     spark = documents.sparkSession
     bounded_batches(spark)
-    # Pairs seen once are not held by the filter; dropped here, they need no room.
-    kept = stash(counts(rows.filter("not held_out").select("text"), params).filter("key % 2 = 0 or n > 1"))
+    # A pair seen once needs room only if a text held out has it: the text that it was counted in knows its count.
+    kept = stash(counts(rows, params).filter("n > 0 and (key % 2 = 0 or n > 1 or asked)").select("key", "n"))
     words = kept.filter("key % 2 = 0")
     bloom, levels = build(kept, params)
 
@@ -319,7 +337,7 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     shared = spark.sparkContext.broadcast(Scorer(bloom, word, keys[order], n[order], log_total, params.pair_weight))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tokens, known, base, score, rest, (owner, places), asks = shared.value.score(batch.column(2))
+        tokens, known, base, score, rest, (owner, places), asks = shared.value.score(batch.column(2), batch.column(1).to_numpy(zero_copy_only=False))
         n = batch.num_rows
         lists = [_lists(rest[0], rest[1].view(np.int64), n, pa.int64())]
         lists += [_lists(np.repeat(owner, 3), places.astype(np.int32).reshape(-1), n, pa.int32()), _lists(asks[0], asks[1].view(np.int64), n, pa.int64())]
@@ -341,13 +359,13 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
         more = []
-        for places, numbers, counted in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+        for held, places, numbers, counted in zip(*batch.columns[1:], strict=True):
             numbers, counted = (np.array(c.as_py() or [], np.int64) for c in (numbers, counted))
-            more.append(shared.value.answered(places.values.to_numpy().astype(np.int64).reshape(-1, 3), numbers, counted))
+            more.append(shared.value.answered(places.values.to_numpy().astype(np.int64).reshape(-1, 3), held.as_py(), numbers, counted))
         return pa.record_batch([batch.column(0), pa.array(more, pa.float64())], names=["row", "more_score"])
 
-    open_rows = scored.filter("size(places) > 0").select("row", "places").join(answers, "row", "left")
-    settled = map_batches(open_rows.select("row", "places", "numbers", "counted"), answer, "row long, more_score double")
+    open_rows = scored.filter("size(places) > 0").select("row", "held_out", "places").join(answers, "row", "left")
+    settled = map_batches(open_rows.select("row", "held_out", "places", "numbers", "counted"), answer, "row long, more_score double")
     return scored.drop("places", "asks", "rest").join(joined, "row", "left").join(settled, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -21,6 +24,10 @@ def corpus() -> list[tuple]:
     return list(enumerate(texts))
 
 
+def held_out(doc_id: int) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % 10 == 0
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").repartition(3)
@@ -38,3 +45,25 @@ def test_words_are_a_distribution():
         word, types = ngram_lm.word_probabilities(levels, bloom)
         assert abs(types * word[0] + sum(c * word[lv] for lv, (c, _) in levels.items()) - 1) < 1e-9
         assert word[0] <= word[1] or not levels
+
+
+def test_scores_by_exact_levels(scored):
+    """Brute force, with pairs seen once counted."""
+    one, two = Counter(), Counter()
+    docs = {k: [None, *t.split(), None] for k, t in corpus()}
+    for k, t in docs.items():
+        if not held_out(k):
+            one.update(t[1:])
+            two.update(zip(t, t[1:], strict=False))
+    assert sum(n == 1 for n in two.values()) > len(two) / 2
+    bloom = ngram_lm.LogBloom(np.zeros((1, 1), np.uint64), (0, 1), 5, 1.5)
+    level = lambda n: int(bloom.level_of(np.array(n)))
+    levels = {lv: (sum(level(n) == lv for n in one.values()), sum(n for n in one.values() if level(n) == lv)) for lv in set(map(level, one.values()))}
+    word, _ = ngram_lm.word_probabilities(levels, bloom)
+    for k, t in docs.items():
+        score = 0.0
+        for a, b in zip(t, t[1:], strict=False):
+            p, most = word[level(one[b])], bloom.most(level(one[a]))
+            score += math.log10(0.3 * min(1, bloom.least(level(two[a, b])) / most) + 0.7 * p if most else p)
+        for got in scored:
+            assert abs(got[k] - score) < 1e-3 * abs(score)
