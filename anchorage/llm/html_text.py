@@ -6,8 +6,8 @@ left out, and where a page marks its article, the rest is too.  Pages of a host
 are ordered by URL path and neighbours are aligned line by line with a longest
 common subsequence; lines that a page shares with its nearest neighbour are
 template text and are deleted.  Two things are exempt, because deleting them
-loses articles: running text inside a marked article, and pages most of whose
-text the neighbour has too, which are copies and not pages of one template.
+loses articles: running text inside a marked article, and pages of which one has
+next to no text that the other lacks, which are copies and not pages of one template.
 
 The order of pages is a distributed sort; neighbours meet in a join on their
 rank, so a host of any size spreads over all tasks.  Only hashes of lines
@@ -48,6 +48,8 @@ NAMES = {
 HEADER_NAMES = {"header", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 WHOLE_PAGE = {"html", "body"}
+#: Two pages are copies where the shorter has no more text of its own than this part of it, and the longer has half in common.
+COPY_PART = 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -236,7 +238,8 @@ def closeness(a: str, b: str) -> int:
 
 def template_lines(lines: list[int], sizes: list[int], free: list[bool], pairs: list[int], shared_size: int, other_size: int) -> list[int]:
     """Which shared lines of a page to delete: all but running text of its article, none if the two pages are copies."""
-    if 2 * shared_size >= min(sum(sizes), other_size):
+    less, more = sorted((sum(sizes), other_size))
+    if COPY_PART * (less - shared_size) <= less and 2 * shared_size >= more:
         return []
     return [k for k in pairs if free[k]]
 
