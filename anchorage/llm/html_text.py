@@ -46,6 +46,8 @@ NAMES = {
     "widget", "pagination", "pager", "login", "search", "skip", "hidden",
 }
 HEADER_NAMES = {"header", "head"}
+#: Parts that make a class tell of a state (has-sidebar, comments-open) and not of what the element is.
+STATE_STARTS, STATE_ENDS = {"has", "no", "with", "without"}, {"open", "closed", "enabled", "disabled"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 WHOLE_PAGE = {"html", "body"}
 #: Two pages are copies where the shorter has no more text of its own than this part of it, and the longer has half in common.
@@ -53,10 +55,27 @@ COPY_PART = 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_MARKED = re.compile(r"<(?:article|main)[\s>]", re.I)
 _PART = re.compile(r"[a-z]+")
 _END_OF = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+def _parts(value: str) -> set[str]:
+    out: set[str] = set()
+    for token in value.strip("\"'").lower().split():
+        found = _PART.findall(token)
+        if found and found[0] not in STATE_STARTS and found[-1] not in STATE_ENDS:
+            out.update(found)
+    return out
+
+
+def _wraps(attributes: str) -> bool:
+    """Whether an element that is set aside may be the wrapper of an article: one that only its class or id names, and not as comments."""
+    kept = _ATTRIBUTE.sub(lambda m: "" if m[1].lower() in ("class", "id") else m[0], attributes)
+    named = [_parts(value) for key, value in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id")]
+    return not any({"comment", "comments", "commentlist", "hidden"} & parts for parts in named) and not _set_aside("div", kept, True)
+
+
 def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     """Whether the markup names an element as something else than article text."""
     if name in LEFT_OUT or name == "header" and not in_article:
@@ -66,7 +85,7 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     for key, value in _ATTRIBUTE.findall(attributes):
         key = key.lower()
         if key in ("class", "id"):
-            parts = set(_PART.findall(value.lower()))
+            parts = _parts(value)
             if parts & NAMES and name not in ARTICLE or "comment" in parts or "comments" in parts:
                 return True
             if not in_article and parts & HEADER_NAMES and name not in ARTICLE:
@@ -80,10 +99,13 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """Blocks of text in page order, each with whether it is in a marked article and whether most of it is links."""
+def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
+    """Blocks of text in page order, each with whether it is in a marked article and whether most of it is links.
+
+    With ``unwrap``, an article is read although elements around it have names of what is no article.
+    """
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, set aside, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, set aside, article, may be a wrapper
     aside = article = links = 0
     text: list[str] = []
     linked = 0
@@ -138,15 +160,18 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if match[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, gone, was_article in stack[k:]:
+                    for _, gone, was_article, _ in stack[k:]:
                         aside -= gone
                         article -= was_article
                     del stack[k:]
                     break
         elif not match[3].endswith("/"):
             gone = _set_aside(name, match[3], article > 0)
+            if unwrap and name in ARTICLE and aside and not gone and all(may for _, was_gone, _, may in stack if was_gone):
+                stack = [(n, False, was_article, may) for n, _, was_article, may in stack]
+                aside = 0
             is_article = not gone and not aside and (name in ARTICLE or "role" in match[3] and "main" in match[3])
-            stack.append((name, gone, is_article))
+            stack.append((name, gone, is_article, unwrap and gone and name not in LEFT_OUT and name != "header" and _wraps(match[3])))
             aside += gone
             article += is_article
     close()
@@ -158,7 +183,13 @@ def candidates(html: str) -> list[tuple[str, bool, bool]]:
     found = blocks(html)
     if any(inside for _, inside, _ in found):
         return [b for b in found if b[1]]
-    return [b for b in found if not b[2]]
+    plain = [b for b in found if not b[2]]
+    if _MARKED.search(html):
+        # An article in an element that is set aside: the page's article, if it is longer than what else there is.
+        wrapped = [b for b in blocks(html, unwrap=True) if b[1]]
+        if sum(len(b[0]) for b in wrapped) > sum(len(b[0]) for b in plain):
+            return wrapped
+    return plain
 
 
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:

@@ -12,3 +12,14 @@ def test_template_text_goes_from_short_pages_too():
     assert html_text.template_lines([1, 2], [80, 20], [True, True], [0, 1], 100, 100) == []
     # A long page beside a stub of nothing but template text.
     assert html_text.template_lines([1, 2], [80, 900], [True, True], [0], 80, 80) == [0]
+
+
+def test_articles_in_named_wrappers():
+    def text(html: str) -> str:
+        return "\n".join(b[0] for b in html_text.candidates(html))
+
+    for start in ("<div class='layout has-sidebar'>", '<div class="content no-sidebar">', "<section id='search-page'>"):
+        assert text(f"<body>{start}<nav>Menu</nav><article><p>Whole text</p></article></section></div></body>") == "Whole text"
+    assert text("<article class='post comments-open'><p>Text</p><div class='comments'><p>Spam</p></div></article>") == "Text"
+    assert text("<div class='related'><article><p>Teaser</p></article></div><article><p>Whole text</p></article>") == "Whole text"
+    assert text("<div class='comments'><article><p>Spam at length</p></article></div><p>Text</p>") == "Text"
