@@ -50,6 +50,8 @@ HEADER_NAMES = {"header", "head"}
 STATE_STARTS, STATE_ENDS = {"has", "no", "with", "without"}, {"open", "closed", "enabled", "disabled"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 WHOLE_PAGE = {"html", "body"}
+#: Largest table of an alignment.
+TABLE_BITS = 1 << 31
 #: Two pages are copies where the shorter has no more text of its own than this part of it, and the longer has half in common.
 COPY_PART = 20
 
@@ -195,8 +197,8 @@ def candidates(html: str) -> list[tuple[str, bool, bool]]:
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places in both of a longest common subsequence, by bit-parallel rows.
 
-    For two pages of which the product of lines passes 2**31, lines that come
-    once in each are aligned instead, which needs no table.
+    Where the product of lines passes 2**31, the pages are divided at a place that
+    a longest common subsequence goes through, so that no table grows beyond it.
     """
     low = 0
     while low < min(len(a), len(b)) and a[low] == b[low]:
@@ -209,10 +211,33 @@ def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     a, b = a[low : len(a) - high], b[low : len(b) - high]
     if not a or not b:
         return before + after
-    middle = _unique_lines(a, b) if len(a) * len(b) > 1 << 31 else _bit_rows(a, b)
+    middle = _divided(a, b) if len(a) * len(b) > TABLE_BITS else _bit_rows(a, b)
     return before + [(i + low, j + low) for i, j in middle] + after
 
 
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` and each beginning of ``b``."""
+    where: dict[int, int] = {}
+    for j, line in enumerate(b):
+        where[line] = where.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for line in a:
+        hit = row & where.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def _divided(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """``_bit_rows`` in linear memory, by Hirschberg's division."""
+    if len(a) <= 1 or len(a) * len(b) <= TABLE_BITS:
+        return _bit_rows(a, b)
+    half = len(a) // 2
+    at = int(np.argmax(_prefix_lengths(a[:half], b) + _prefix_lengths(a[half:][::-1], b[::-1])[::-1]))
+    return _divided(a[:half], b[:at]) + [(i + half, j + at) for i, j in _divided(a[half:], b[at:])]
+
+
 def _bit_rows(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     where: dict[int, int] = {}
     for j, line in enumerate(b):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from anchorage.llm import html_text
 
 
@@ -23,3 +25,22 @@ def test_articles_in_named_wrappers():
     assert text("<article class='post comments-open'><p>Text</p><div class='comments'><p>Spam</p></div></article>") == "Text"
     assert text("<div class='related'><article><p>Teaser</p></article></div><article><p>Whole text</p></article>") == "Whole text"
     assert text("<div class='comments'><article><p>Spam at length</p></article></div><p>Text</p>") == "Text"
+
+
+def test_long_pages_are_aligned_whole(monkeypatch):
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = ([r.randrange(4) for _ in range(r.randrange(30))] for _ in range(2))
+        whole = html_text.common_lines(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "TABLE_BITS", 8)
+            pairs = html_text.common_lines(a, b)
+        assert len(pairs) == len(whole) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_repeated_lines_of_very_long_pages():
+    r = random.Random(2)
+    a = [1, *([5] * 10), *(r.randrange(100, 200) for _ in range(47_000)), 2]
+    b = [3, *([5] * 10), *(r.randrange(300, 400) for _ in range(47_000)), 4]
+    assert len(html_text.common_lines(a, b)) == 10
