@@ -91,7 +91,8 @@ def compression(text: memoryview, bands: Bands, compressor: zstandard.ZstdCompre
     if size > bands.chunk_bytes:
         chunks = range(0, size - bands.chunk_bytes // 2, bands.chunk_bytes)
         for start in chunks:
-            part = text[start : start + bands.chunk_bytes]
+            # A last piece of at most half a chunk belongs to the chunk before it.
+            part = text[start : start + bands.chunk_bytes] if start != chunks[-1] else text[start:]
             bad += not bands.chunk_least <= len(part) / len(compressor.compress(part)) <= bands.chunk_most
         share = bad / len(chunks)
     _, least, most = next(row for row in bands.whole if size < row[0])
