@@ -102,14 +102,61 @@ def test_sampled_colour(interval):
     assert image.thumbnail().shape == (4, 6)
 
 
-def test_general_decoder_agrees_with_the_wide_one():
-    payload = os.urandom(576 * 5)
-    data = jpeg.encode_payload(payload)
-    wide = jpeg.images(data)[0].components[1].coefficients.copy()
-    for t in jpeg._huffman.values():
-        t.uniform = 0
-    assert (jpeg.images(data)[0].components[1].coefficients == wide).all()
-    jpeg._huffman.clear()
+def test_both_decoders_agree(monkeypatch):
+    r = random.Random(3)
+    sparse = bytes(128 if r.random() < 0.8 else r.randrange(256) for _ in range(576 * 7))  # long runs of zeros
+    for payload in (os.urandom(576 * 5), sparse, b"\x80" * 576 * 3, "Prose, ordinary prose. ".encode() * 200):
+        data = jpeg.encode_payload(payload)
+        in_step = jpeg.images(data)[0].components[1].coefficients.copy()
+        assert in_step.any() or set(payload) == {128}
+        with monkeypatch.context() as m:
+            m.setattr(jpeg, "_FEW", 1 << 30)
+            assert (jpeg.images(data)[0].components[1].coefficients == in_step).all()
+
+
+@pytest.mark.parametrize("interval", [1, 2, 5])
+def test_intervals_in_step_keep_dc_differences(interval, monkeypatch):
+    monkeypatch.setattr(jpeg, "_FEW", 1)
+    data, kept = write([(1, 1)], 12, 30, 20, interval, 4)
+    other, more = write([(1, 1)], 12, 30, 20, interval, 5)
+    first, second = jpeg.images_of([data, other])
+    assert first[0].components[1].coefficients.tolist() == kept[0] and second[0].components[1].coefficients.tolist() == more[0]
+
+
+def test_tables_with_an_end_of_block_of_nine_bits():
+    """Categories 8 to 1 have codes of 1 to 8 bits, so that code and value take 9 bits; the end of a block has 9 bits, too."""
+    tables = jpeg._marker(0xDB, bytes([0] + [1] * 64))
+    for kind in (0x00, 0x10):
+        tables += jpeg._marker(0xC4, bytes([kind] + [1] * 9 + [0] * 7 + [8, 7, 6, 5, 4, 3, 2, 1, 0]))
+    frame = jpeg._marker(0xC0, struct.pack(">BHHB", 8, 8, 8, 1) + b"\x01\x11\x00")
+    bits = "0" + "11001000" + "0" + "10000001" + "111111110"  # DC 200, AC 129, end
+    bits += "1" * (-len(bits) % 8)
+    scan = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+    data = b"\xff\xd8" + tables + frame + jpeg._marker(0xDA, b"\x01\x01\x00\x00\x3f\x00") + scan + b"\xff\xd9"
+    assert jpeg.images(data)[0].components[1].coefficients[0].tolist() == [200, 129] + [0] * 62
+
+
+@pytest.mark.parametrize("interval", [0, 1])
+def test_every_cut_stream_is_refused(interval):
+    colour, _ = write([(2, 1), (1, 1)], 2, 20, 8, interval, 1)
+    for data in (jpeg.encode_payload(os.urandom(2000) + b"\x80" * 900), colour):
+        for k in range(len(data)):
+            with pytest.raises(ValueError):
+                jpeg.parse(data[:k])
+
+
+def test_damaged_streams_are_refused_or_read():
+    """Any byte changed gives an image or a ValueError, and no other error."""
+    r = random.Random(6)
+    good = jpeg.encode_payload(os.urandom(3000))
+    for _ in range(400):
+        data = bytearray(good)
+        for _ in range(r.randrange(1, 4)):
+            data[r.randrange(len(data) if r.random() < 0.3 else 420)] = r.randrange(256)
+        try:
+            jpeg.images(bytes(data))
+        except ValueError:
+            pass
 
 
 @pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 2700 * 576, 2700 * 576 + 1])
