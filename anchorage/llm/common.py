@@ -2,9 +2,12 @@
 
 A *word* is a maximal run of bytes of the UTF-8 text outside ``\\x20`` and
 ``\\x09-\\x0D``.  Words are hashed to 64 bits with numpy, whole documents at a
-time; sequences of words are hashed by composing word hashes.  Two different
-sequences share a hash with a probability near 2**-64, which the operators
-treat as never.
+time, eight bytes after the other, each mixed before the next one is added; a
+word of up to eight bytes shares its hash with none of its length.  Sequences of words are
+hashed by composing word hashes, mixed at every step.  Nothing in them is
+linear in the bytes, so no pattern makes different texts alike; two sequences
+share a hash with a probability near 2**-64.  Where hashes of all documents
+meet each other, two independent ones are compared.
 """
 
 from __future__ import annotations
@@ -121,16 +124,11 @@ def list_column(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 # ---------------------------------------------------------------- hashing
 
-_BLOCK = 1 << 20  # bytes hashed at a time
-_GIANT = 1 << 16  # longer words are hashed on their own
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(base: int, count: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        out = np.full(count, base, U64)
-        out[0] = 1
-        return np.cumprod(out)
+_GIANT = 256  # longer words are hashed on their own
+#: Mask of the first bytes of a little-endian 64-bit word, by their number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+#: Multipliers of independent hashes of sequences.
+_FAMILY = (U64(0x9DDFEA08EB382D69), U64(0xD6E8FEB86659FD93))
 
 
 _tables: dict[str, np.ndarray] = {}
@@ -138,11 +136,6 @@ _tables: dict[str, np.ndarray] = {}
 
 def _table(name: str) -> np.ndarray:
     if not _tables:
-        random = np.random.default_rng(20240117)
-        _tables["byte"] = random.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        size = _BLOCK + _GIANT + 2
-        _tables["up"] = _powers(_BASE, size)
-        _tables["down"] = _powers(pow(_BASE, -1, 1 << 64), size)
         space = np.zeros(256, bool)
         space[[0x20, *range(0x09, 0x0E)]] = True
         _tables["space"] = space
@@ -178,27 +171,21 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word, whatever stands around it."""
-    out = np.empty(len(starts), U64)
     if not len(starts):
-        return out
-    byte, up, down = _table("byte"), _table("up"), _table("down")
+        return np.empty(0, U64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
     lengths = ends - starts
-    giant = lengths > _GIANT
-    first = 0
-    while first < len(starts):
-        base = int(starts[first])
-        last = int(np.searchsorted(starts, base + _BLOCK - _GIANT, "left")) if len(data) > _BLOCK else len(starts)
-        last = max(last, first + 1)
-        stop = min(int(ends[last - 1]), base + _BLOCK + _GIANT)
-        sums = np.zeros(stop - base + 1, U64)
-        np.cumsum(byte[data[base:stop]] * down[: stop - base], out=sums[1:])
-        a = starts[first:last] - base
-        b = np.minimum(ends[first:last] - base, stop - base)
-        out[first:last] = (sums[b] - sums[a]) * up[a] + lengths[first:last].astype(U64)
-        first = last
-    mix64(out)
-    for i in np.flatnonzero(giant):
-        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=7)
+    out = mix64(eight[starts] & _FIRST[np.minimum(lengths, 8)] ^ lengths.astype(U64) * U64(0x9E3779B97F4A7C15))
+    at, done = np.flatnonzero((lengths > 8) & (lengths <= _GIANT)), 8
+    while len(at):
+        more = eight[starts[at] + done] & _FIRST[np.minimum(lengths[at] - done, 8)]
+        out[at] = mix64((out[at] ^ more) + U64(done))
+        done += 8
+        at = at[lengths[at] > done]
+    for i in np.flatnonzero(lengths > _GIANT):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), seed=7)
     return out
 
 
@@ -208,22 +195,22 @@ def hashed_words(text: memoryview | bytes, lower: bool = False) -> np.ndarray:
     return word_hashes(data, *word_bounds(data))
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of ``k`` words, one for each start."""
+def gram_hashes(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``k`` words, one for each start; those of the two families (0 and 1) are independent."""
     if len(words) < k:
         return np.empty(0, U64)
-    return _grams(words, k)
+    return _grams(words, k, _FAMILY[family])
 
 
-def _grams(words: np.ndarray, k: int) -> np.ndarray:
+def _grams(words: np.ndarray, k: int, multiplier: np.uint64) -> np.ndarray:
     if k == 1:
         return words
     half = 1 << (k.bit_length() - 1)
     half = half // 2 if half == k else half
-    left = _grams(words, half)
-    right = left if k - half == half else _grams(words, k - half)
+    left = _grams(words, half, multiplier)
+    right = left if k - half == half else _grams(words, k - half, multiplier)
     n = len(words) - k + 1
-    return mix64(left[:n] * U64(0x9DDFEA08EB382D69) + right[half : half + n] + U64(k))
+    return mix64(left[:n] * multiplier + right[half : half + n] + U64(k))
 
 
 def sequence_key(words: np.ndarray) -> bytes:

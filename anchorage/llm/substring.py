@@ -10,7 +10,9 @@ run by run.  Runs that a smaller document has too are joined into maximal
 repeats and cut.
 
 No pairs are made: every comparison is with the smallest document of a group,
-found by an aggregation that combines before the shuffle.
+found by an aggregation that combines before the shuffle.  Words go only where
+two independent 64-bit hashes of their surroundings or runs agree, so that
+chance stays out of it at any number of documents.
 """
 
 from __future__ import annotations
@@ -54,17 +56,21 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return chosen, grams[chosen]
 
 
-def surroundings(words: np.ndarray, positions: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """A hash of all words that share a run with the anchor at each position, and of where the anchor stands in them."""
+def surroundings(words: np.ndarray, positions: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of all words that share a run with the anchor at each position, and of where the anchor stands in them."""
     reach = window - gram
     start, end = np.maximum(positions - reach, 0), np.minimum(positions + window, len(words))
-    out = np.empty(len(positions), U64)
     full = end - start == window + reach
-    if full.any():
-        out[full] = gram_hashes(words, window + reach)[start[full]]
-    for k in np.flatnonzero(~full):
-        out[k] = gram_hashes(words[start[k] : end[k]], int(end[k] - start[k]))[0]
-    return mix64(out + (positions - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+    place = (positions - start).astype(U64) * U64(0x9E3779B97F4A7C15)
+    both = []
+    for family in (0, 1):
+        out = np.empty(len(positions), U64)
+        if full.any():
+            out[full] = gram_hashes(words, window + reach, family)[start[full]]
+        for k in np.flatnonzero(~full):
+            out[k] = gram_hashes(words[start[k] : end[k]], int(end[k] - start[k]), family)[0]
+        both.append(mix64(out + place))
+    return both[0], both[1]
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -74,53 +80,57 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def seeds(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, places, anchor, around) with one element of the arrays for each anchor in equal surroundings.
+    """(doc_id, text_key, places, anchor, around, check) with one element of the arrays for each anchor in equal surroundings.
 
     A text that repeats itself has such an anchor at many places, which travel together.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ends, places, grams, around = [], [], [], []
+        ends, places, grams, around, check = [], [], [], [], []
         for text in binary_values(batch.column(2)):
             words = hashed_words(text)
             at, found = anchors(words, window, gram)
-            near = surroundings(words, at, window, gram)
-            order = np.lexsort((at, near, found))
-            at, found, near = at[order], found[order], near[order]
-            new = np.flatnonzero(np.append((found[1:] != found[:-1]) | (near[1:] != near[:-1]), True)) if len(at) else at
+            near, again = surroundings(words, at, window, gram)
+            order = np.lexsort((at, again, near, found))
+            at, found, near, again = at[order], found[order], near[order], again[order]
+            differs = (found[1:] != found[:-1]) | (near[1:] != near[:-1]) | (again[1:] != again[:-1])
+            new = np.flatnonzero(np.append(differs, True)) if len(at) else at
             ends.append(new + 1)
             places.append(at.astype(np.int32))
             grams.append(found[new].view(np.int64))
             around.append(near[new].view(np.int64))
+            check.append(again[new].view(np.int64))
         before = np.cumsum([0, *map(len, places)])
         inner = np.concatenate(([0], *[e + b for e, b in zip(ends, before, strict=False)])).astype(np.int32)
         each = pa.ListArray.from_arrays(pa.array(inner), pa.array(np.concatenate(places)))
         outer = np.cumsum([0, *map(len, ends)]).astype(np.int32)
-        arrays = [pa.ListArray.from_arrays(pa.array(outer), each), list_column(grams, pa.int64()), list_column(around, pa.int64())]
-        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "places", "anchor", "around"])
+        arrays = [pa.ListArray.from_arrays(pa.array(outer), each), *(list_column(x, pa.int64()) for x in (grams, around, check))]
+        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "places", "anchor", "around", "check"])
 
-    schema = "doc_id long, text_key long, places array<array<int>>, anchor array<long>, around array<long>"
+    schema = "doc_id long, text_key long, places array<array<int>>, anchor array<long>, around array<long>, check array<long>"
     return map_batches(_keyed(documents).filter("doc_id is not null"), run, schema).filter("size(places) > 0")
 
 
 def _runs(contested: DataFrame, documents: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, text_key, starts, runs): the extensions of contested occurrences, each run of a document once."""
+    """(doc_id, text_key, starts, runs, checks): the extensions of contested occurrences, each run of a document once."""
     places = contested.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))
     rows = places.hint("shuffle_hash").join(_keyed(documents), ["doc_id", "text_key"]).select("doc_id", "text_key", "places", "text")
     reach = np.arange(window - gram + 1)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        starts, runs = [], []
+        starts, runs, checks = [], [], []
         for at, text in zip(batch.column(2), binary_values(batch.column(3)), strict=True):
-            hashes = gram_hashes(hashed_words(text), window)
+            words = hashed_words(text)
+            hashes, again = gram_hashes(words, window), gram_hashes(words, window, 1)
             start = np.unique(at.values.to_numpy()[:, None].astype(np.int64) - reach)
             start = start[(start >= 0) & (start < len(hashes))]
             starts.append(start.astype(np.int32))
             runs.append(hashes[start].view(np.int64))
-        arrays = [list_column(starts, pa.int32()), list_column(runs, pa.int64())]
-        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "starts", "runs"])
+            checks.append(again[start].view(np.int64))
+        arrays = [list_column(starts, pa.int32()), list_column(runs, pa.int64()), list_column(checks, pa.int64())]
+        return pa.record_batch([batch.column(0), batch.column(1), *arrays], names=["doc_id", "text_key", "starts", "runs", "checks"])
 
-    return map_batches(rows, run, "doc_id long, text_key long, starts array<int>, runs array<long>")
+    return map_batches(rows, run, "doc_id long, text_key long, starts array<int>, runs array<long>, checks array<long>")
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -131,31 +141,35 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     a null id neither have repeats nor count as a source of them.
     """
     found = stash(seeds(documents, window, gram))
-    hits = found.select("doc_id", "text_key", F.explode(F.arrays_zip("places", "anchor", "around")).alias("x"))
-    hits = hits.select("doc_id", "text_key", "x.places", "x.anchor", "x.around")
+    hits = found.select("doc_id", "text_key", F.explode(F.arrays_zip("places", "anchor", "around", "check")).alias("x"))
+    hits = hits.select("doc_id", "text_key", "x.places", "x.anchor", "x.around", "x.check")
     groups = (
         hits.groupBy("anchor")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("around").alias("a"), F.max("around").alias("b"))
+        .agg(
+            F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+            ((F.min("around") == F.max("around")) & (F.min("check") == F.max("check"))).alias("alike"),
+        )
         .filter("first < last")
-        .select("anchor", "first", (F.col("a") == F.col("b")).alias("alike"))
+        .select("anchor", "first", "alike")
     )
     # Stored first, both sides of the join are plain shuffles, of which Spark splits what one frequent anchor makes large.
     groups = stash(groups)
     shared = hits.join(groups, "anchor").filter("not alike or first < doc_id")
-    shared = stash(shared.select("doc_id", "text_key", "places", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around")]))
+    shared = stash(shared.select("doc_id", "text_key", "places", "alike", *[F.when(~F.col("alike"), F.col(c)).alias(c) for c in ("anchor", "around", "check")]))
     discard(found)
     discard(groups)
     differing = shared.filter("not alike")
-    owners = stash(differing.groupBy("anchor", "around").agg(F.min("doc_id").alias("owner")))
-    judged = differing.join(owners, ["anchor", "around"]).select("doc_id", "text_key", "places", (F.col("doc_id") == F.col("owner")).alias("own"))
+    owners = stash(differing.groupBy("anchor", "around", "check").agg(F.min("doc_id").alias("owner")))
+    judged = differing.join(owners, ["anchor", "around", "check"]).select("doc_id", "text_key", "places", (F.col("doc_id") == F.col("owner")).alias("own"))
     judged = stash(judged.unionByName(shared.filter("alike").select("doc_id", "text_key", "places", F.lit(False).alias("own"))))
     discard(shared)
     discard(owners)
     packed = stash(_runs(judged.filter("own"), documents, window, gram))
-    runs = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "runs")).alias("x"))
-    runs = runs.select("doc_id", "text_key", F.col("x.starts").alias("start"), F.col("x.runs").alias("run"))
-    sources = runs.groupBy("run").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
-    extended = runs.join(sources.select("run", "source"), "run").filter("source < doc_id")
+    runs = packed.select("doc_id", "text_key", F.explode(F.arrays_zip("starts", "runs", "checks")).alias("x"))
+    runs = runs.select("doc_id", "text_key", F.col("x.starts").alias("start"), F.col("x.runs").alias("run"), F.col("x.checks").alias("check"))
+    sources = runs.groupBy("run", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last")
+    sources = stash(sources.select("run", "check", "source"))
+    extended = runs.join(sources, ["run", "check"]).filter("source < doc_id")
     nothing = F.lit(None).cast("int")
     both = judged.filter("not own").select("doc_id", "text_key", F.col("places").alias("whole"), nothing.alias("start")).unionByName(
         extended.select("doc_id", "text_key", F.lit(None).cast("array<int>").alias("whole"), "start")
@@ -163,6 +177,7 @@ def repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     spans = stash(both.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("whole")).alias("whole"), F.collect_list("start").alias("starts")))
     discard(judged)
     discard(packed)
+    discard(sources)
     return spans
 
 
