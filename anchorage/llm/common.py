@@ -12,9 +12,12 @@ meet each other, two independent ones are compared.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +40,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, because documents differ in length by orders of magnitude."""
+    """Bound Arrow batches by bytes, because documents differ in length by orders of magnitude.
+
+    The setting stays, as results are read when the caller likes.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is used.
+    Where that is unset, a temporary folder is used if everything runs in one
+    process, as in tests; on a cluster this raises RuntimeError.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Frees the shuffle files of a query when it ends.
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What the innermost ``scratch`` has to delete.
+_held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` as Parquet in the shared folder, for data too large to lie there as uncompressed rows.
+    """Materialise ``df`` as Parquet in the shared folder; this cuts its lineage.
 
-    Its shuffle files are freed once it is written.  ``discard`` frees the Parquet itself.
+    Its shuffle files are freed once it is written.  The Parquet goes with
+    ``discard``, at the end of a ``scratch``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4()}"
@@ -77,14 +84,40 @@ def stash(df: DataFrame) -> DataFrame:
         spark.conf.set(_FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stash_path = path
+    delete_at_exit(spark, path)
+    if (held := _held.get()) is not None:
+        held.append(out)
     return out
 
 
-def discard(stashed: DataFrame) -> None:
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver's process ends."""
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
+
+
+def discard(*stashed: DataFrame) -> None:
     """Delete what ``stash`` wrote, once nothing that is still to run reads it."""
-    spark = stashed.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stashed.stash_path)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    for one in stashed:
+        place, files = _place(one.sparkSession, one.stash_path)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end all that was stashed inside; what is to stay has been written elsewhere by then."""
+    token = _held.set([])
+    try:
+        yield
+    finally:
+        discard(*(_held.get() or []))
+        _held.reset(token)
 
 
 def utf8(column: Column | str) -> Column:

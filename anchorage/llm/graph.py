@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import cut
+from anchorage.llm.common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,21 +13,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round hooks neighbours to the smallest of their neighbourhood, first
     towards larger ids and then towards smaller ones; the edges become stars in
-    O(log^2) rounds.  Each round is written to the checkpoint folder.  Edges
-    stay distributed; two numbers a round reach the driver.
+    O(log^2) rounds.  Edges stay distributed; two numbers a round reach the
+    driver.  The least neighbours are written before they are joined, so both
+    sides of a join are plain shuffles, of which Spark splits the hub of a star.
     """
-    now = cut(
-        edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
+    now = stash(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        before, state = state, _state(now)
+        least = stash(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        larger = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stash(larger.filter("a <> b").distinct())
+        nearest = stash(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(nearest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        later = stash(small.unionByName(nearest.select("a", F.col("m").alias("b"))).distinct())
+        discard(now, least, large, nearest)
+        now, before, state = later, state, _state(later)
         if state == before:
             break
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import (
-    U64, binary_values, bounded_batches, byte_array, cut, map_batches, mix64, stash, utf8, word_bounds, word_hashes,
+    U64, binary_values, bounded_batches, byte_array, map_batches, mix64, stash, utf8, word_bounds, word_hashes,
 )
 
 _END = U64(0x5DEECE66D1234568)
@@ -346,7 +346,7 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, places array<int>, asks array<long>"
-    scored = cut(map_batches(rows, run, schema)).withColumn("row", F.monotonically_increasing_id())
+    scored = stash(map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id()))
     others = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
     n = F.coalesce("n", F.lit(0))
     joined = others.join(words, "key", "left").groupBy("row").agg(
