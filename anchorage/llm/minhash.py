@@ -6,9 +6,14 @@ one over the shuffled shingles circularly shifted by k.  Texts with equal
 shingle sets are one class and go on as their smallest id.  Classes that agree
 in a band of coordinates are candidates; each class is compared, on the full
 shingle sets, within the group of every distinct smallest class among its
-buckets, and only a spanning forest of each group's links is returned.  Groups
-beyond a block are compared block by block, so none is ever held in one task.
-Components of the forest are those of all links found.
+buckets, and only a spanning forest of each group's links is returned.
+
+A group of one block is compared in one task.  Of a larger one, every class is
+first compared with the group's smallest, block by block; those that link to it
+are one component.  Only classes that do not are then compared with the whole
+group, block by block, so a group of m near copies costs about m comparisons,
+no group is ever held in one task, and no link between different texts is
+lost.  Components of the forest are those of all links found.
 
 A pair at the threshold misses all bands with a probability of (1 - t^r)^b,
 below 10^-5 for the defaults at t = 0.85 and falling fast above it.
@@ -21,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import (
@@ -38,7 +43,7 @@ class Params:
     percent: int = 85
     bands: int = 20
     rows: int = 5
-    block_documents: int = 1024
+    block_documents: int = 256
     block_shingles: int = 2_000_000
 
 
@@ -143,34 +148,51 @@ def linked(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None)
         reach = best
 
 
-def _forest(params: Params):
-    """From rows (leader, i, j, chunk, id, text) sorted by (leader, i, j) to edges (a, b)."""
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if min(len(one), len(other)) * 100 < percent * max(len(one), len(other)):
+        return False
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    common = int((one[at] == other).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
 
-    def edges(ids: list[int], sets: list[np.ndarray], chunks: list[int]) -> Iterator[tuple[int, int]]:
+def _compared(params: Params):
+    """From rows (leader, i, j, side, id, text) sorted by the first four to rows (a, b, n, linked).
+
+    Rows of one (leader, i, j) are a task.  Where i is -1, side 0 is the group's
+    smallest class and every other row is compared with it: linked or not, it
+    gives a row with its number of shingles.  Else all rows, or if there are two
+    sides those of different sides, are compared; links of a spanning forest are given.
+    """
+
+    def forest(ids: list[int], sets: list[np.ndarray], sides: list[int]) -> Iterator[tuple[int, int, int, bool]]:
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        side = np.array([chunks[k] for k in order])
+        side = np.array([sides[k] for k in order])
         reach = linked([sets[k] for k in order], params.percent, side if side.min() != side.max() else None)
         for k in np.flatnonzero(reach != np.arange(len(reach))):
-            yield ids[order[k]], ids[order[reach[k]]]
+            yield ids[order[k]], ids[order[reach[k]]], len(sets[order[k]]), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, chunks, out = None, [], [], [], []
+        key, ids, sets, sides, out = None, [], [], [], []
 
         def done() -> None:
-            if len(ids) > 1:
-                out.extend(edges(ids, sets, chunks))
+            if len(ids) > 1 and key[1] >= 0:
+                out.extend(forest(ids, sets, sides))
 
         for batch in batches:
             names = [batch.column(k).to_pylist() for k in range(5)]
-            for *now, chunk, doc_id, text in zip(*names, binary_values(batch.column(5)), strict=True):
+            for *now, side, doc_id, text in zip(*names, binary_values(batch.column(5)), strict=True):
                 if now != key:
                     done()
-                    key, ids, sets, chunks = now, [], [], []
+                    key, ids, sets, sides = now, [], [], []
                 found = shingles(text, params.words)
-                if len(found):
+                if len(found) and now[1] < 0 and side:
+                    out.append((doc_id, now[0], len(found), any(_similar(head, found, params.percent) for head in sets)))
+                elif len(found):
                     ids.append(doc_id)
                     sets.append(found)
-                    chunks.append(chunk)
+                    sides.append(side)
             if len(out) > 10_000:
                 yield _edge_batch(out)
                 out = []
@@ -180,8 +202,9 @@ def _forest(params: Params):
     return run
 
 
-def _edge_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _edge_batch(rows: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["a", "b", "n", "linked"])
 
 
 def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFrame:
@@ -200,7 +223,9 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
         .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("least"))
         .select("set_id", F.col("least.doc_id").alias("rep"), F.col("least.n_shingles").alias("n"), F.col("least.bands").alias("bands"))
     )
-    stars = components(_links(documents, classes, params))
+    edges = _links(documents, classes, params)
+    stars = components(edges)
+    discard(edges)
     named = classes.join(stars, classes.rep == stars.id, "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     out = found.drop("bands").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
@@ -210,37 +235,71 @@ def near_duplicates(documents: DataFrame, params: Params = Params()) -> DataFram
 
 
 def kept_documents(documents: DataFrame, params: Params = Params()) -> DataFrame:
-    """One document of each group, with all columns as they are; of repeated rows one stays."""
+    """One document of each group, with all columns as they are.
+
+    Of rows with one id and one text, the one whose columns are least stays.
+    Null, empty and blank texts are groups of their own, as are rows without an
+    id; no rows give no rows.
+    """
     names = [f"column{k}" for k in range(len(documents.columns))]
     at = dict(zip(documents.columns, names, strict=True))
     kept = stash(near_duplicates(documents, params).filter("kept").select("doc_id", "text_key").distinct())
     keyed = documents.toDF(*names).withColumn("own_key", F.xxhash64(utf8(at["text"])))
     same = keyed[at["doc_id"]].cast("long").eqNullSafe(kept["doc_id"]) & (keyed["own_key"] == kept["text_key"])
-    once = keyed.join(kept, same, "left_semi").dropDuplicates([at["doc_id"], "own_key"])
-    return once.select(*[F.col(n).alias(c) for c, n in at.items()])
+    rows = keyed.join(kept, same, "left_semi")
+    once = rows.groupBy(at["doc_id"], "own_key").agg(F.min(F.struct(*names)).alias("row"))
+    return once.select(*[F.col(f"row.{n}").alias(c) for c, n in at.items()])
+
+
+def _blocks(params: Params) -> Column:
+    """How many blocks a group of m classes with a total of shingles has."""
+    return F.greatest(F.ceil(F.col("m") / params.block_documents), F.ceil(F.col("total") / params.block_shingles)).cast("int")
 
 
 def _links(documents: DataFrame, classes: DataFrame, params: Params) -> DataFrame:
     """Edges (a, b) between class representatives that span all links within candidate groups."""
+    spark = documents.sparkSession
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), utf8("text").alias("text")).filter("rep is not null")
+    bounded_batches(spark)
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        # Of one class, only the smallest id is here; a document with several texts appears once with each.
+        rows = tasks.join(texts, "rep").select("leader", "i", "j", "side", "rep", "text")
+        ordered = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side")
+        return stash(ordered.mapInArrow(_compared(params), "a long, b long, n long, linked boolean"))
+
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
+    # Written first, both sides of the next joins are plain shuffles, of which Spark splits what one key or group makes large.
     leaders = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last")
-    pairs = stash(keys.join(leaders.select("key", "leader"), "key").select("leader", "rep", "n").distinct())
+    leaders = stash(leaders.select("key", "leader"))
+    pairs = stash(keys.join(leaders, "key").select("leader", "rep", "n").distinct())
     size = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    chunks = F.greatest(F.ceil(F.col("m") / params.block_documents), F.ceil(F.col("total") / params.block_shingles)).cast("int")
     # Few groups need more than one block, so this side of the join is small and most rows find nothing in it.
-    large = size.select("leader", chunks.alias("blocks")).filter("blocks > 1")
-    tasks = (
-        pairs.join(large, "leader", "left")
-        .withColumn("chunks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("leader", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep")
+    large = stash(size.select("leader", _blocks(params).alias("blocks")).filter("blocks > 1"))
+    members = pairs.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    heads = large.select("leader", F.lit(-1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.col("leader").alias("rep"))
+    own = members.filter("blocks = 1 or rep <> leader").select(
+        "leader", F.when(F.col("blocks") > 1, -1).otherwise(0).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep"
     )
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), utf8("text").alias("text")).filter("rep is not null")
-    rows = tasks.hint("shuffle_hash").join(texts, "rep").select("leader", "i", "j", "chunk", "rep", "text")
-    bounded_batches(documents.sparkSession)
-    # Of one class, only the smallest id is here; a document with several texts appears once with each.
-    ordered = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    edges = stash(ordered.mapInArrow(_forest(params), "a long, b long"))
-    discard(pairs)
+    first = compared(own.unionByName(heads).hint("shuffle_hash"))
+    found = first.filter("linked")
+    rest = stash(first.filter("not linked").select(F.col("b").alias("leader"), F.col("a").alias("rep"), "n").distinct())
+    used = [leaders, pairs, large, first, rest]
+    if not rest.isEmpty():
+        over = rest.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+        over = stash(over.select("leader", _blocks(params).alias("parts")))
+        left = rest.join(over, "leader").join(large, "leader").select(
+            "leader", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int").alias("i"),
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "rep",
+        )
+        right = members.join(over, "leader").select(
+            "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"), "rep"
+        )
+        tasks = stash(left.unionByName(right))
+        second = compared(tasks)
+        found = found.unionByName(second)
+        used += [over, tasks, second]
+    edges = stash(found.select("a", "b").filter("a <> b").distinct())
+    discard(*used)
     return edges
