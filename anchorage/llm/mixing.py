@@ -6,13 +6,15 @@ entropy balancing takes those of greatest entropy: the rate of a document of
 size x in source s is limit * e^t / (1 + e^t) with t = l_s * x, where l_s is
 the source's multiplier in the convex dual.  Newton steps, guarded by a
 bracket, find all multipliers at once; each step is one aggregation over a
-histogram of sizes.  Rates are rounded into copies by carrying the remainder
-from size to size within a source, and what is still missing or over is made
-up by copies of the best-fitting sizes.
+histogram of sizes, until every target is met.  Rates are rounded into copies
+by carrying the remainder from size to size within a source, and what is still
+missing or over is made up by copies of the best-fitting sizes until none fits.
 
 Only DataFrame functions run here.  Documents are read once; everything but
 the last step works on (source, size) counts, and copies of one size are dealt
-out by hash buckets, so equal documents and large sources need no single task.
+out by hash buckets, so equal documents and large sources need no single task;
+nor does any number of sources, which are numbered by a range sort and share
+the mix by repeated sums.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import WORD, cut, utf8
+from anchorage.llm.common import WORD, discard, stash, utf8
 
 BUCKETS = 1024
 
@@ -35,7 +37,6 @@ class Mix:
     share: float = 1.5
     limit: int = 2
     steps: int = 80
-    repairs: int = 6
 
 
 def _source_key(column: str = "source") -> Column:
@@ -46,21 +47,30 @@ def _source_key(column: str = "source") -> Column:
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     """(key, source_size, target) from (key, source_size): shares by weight, none above ``limit`` times its size.
 
-    The shares that stop and the level of the others follow from one ordering
-    of the sources by the level at which each stops.
+    Sources whose shares stop leave the rest to the others; each round sums up
+    what has stopped and finds the level of the others, until none is above.
+    Two numbers a round reach the driver.
     """
-    everything = Window.orderBy("key")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = stash(sizes.repartitionByRange("key").sortWithinPartitions("key").select("*", F.spark_partition_id().alias("part"), within.alias("at")))
+    # One row a partition, whatever the number of sources.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     weights = F.array(*[F.lit(float(w)) for w in mix.weights])
-    weighed = sizes.withColumn("weight", F.element_at(weights, (F.row_number().over(everything) - 1) % len(mix.weights) + 1))
-    weighed = weighed.withColumn("most", F.col("source_size") * float(mix.limit)).withColumn("stop", F.col("most") / F.col("weight"))
-    every = Window.partitionBy(F.lit(0))
-    before = every.orderBy("stop", "key").rowsBetween(Window.unboundedPreceding, -1)
-    after = every.orderBy("stop", "key").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    total = F.sum("source_size").over(every) * mix.share
-    level = (total - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = weighed.withColumn("level", level)
-    reached = F.min(F.when(F.col("level") <= F.col("stop"), F.struct("stop", "key", "level"))).over(every)["level"]
-    return levels.select("key", "source_size", F.least("most", F.coalesce(reached * F.col("weight"), "most")).alias("target"))
+    weight = F.element_at(weights, ((F.col("before") + F.col("at")) % len(mix.weights) + 1).cast("int"))
+    most = F.col("source_size") * float(mix.limit)
+    weighed = stash(ordered.join(parts, "part").select("key", "source_size", weight.alias("weight"), most.alias("most")))
+    discard(ordered)
+    total = mix.share * float(weighed.agg(F.sum("source_size")).first()[0] or 0)
+    level, stops = 0.0, F.col("most") / F.col("weight")
+    while True:
+        stopped = stops < level
+        held, rest = weighed.agg(F.sum(F.when(stopped, F.col("most"))), F.sum(F.when(~stopped, F.col("weight")))).first()
+        reached = (total - (held or 0.0)) / rest if rest else float("inf")
+        if reached <= level:
+            break
+        level = reached
+    return weighed.select("key", "source_size", F.least("most", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _rate(multiplier: Column, x: Column, limit: int) -> Column:
@@ -72,20 +82,28 @@ def multipliers(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     """(key, multiplier, mean) that meet every target; the dual's Newton iteration, one aggregation a step.
 
     A target of the whole limit is met by no finite multiplier; it gets the
-    upper end of the bracket at once, where rates are the limit to the last digit.
+    upper end of the bracket at once, where rates are the limit to the last
+    digit.  Raises RuntimeError if a target is not met after ``steps`` steps.
     """
     whole = F.col("target") >= F.col("source_size") * float(mix.limit) * (1 - 1e-9)
-    state = cut(
-        goals.filter("source_size > 0").select(
-            "key", "target", "source_size", F.when(whole, F.lit(1e6)).otherwise(F.lit(0.0)).alias("multiplier"),
-            F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), whole.alias("done"),
+    words = F.col("size") * F.col("n")
+    mean, longer = F.sum(words) / F.sum("n"), F.sum(F.col("size") * words) / F.sum(words)
+    means = stash(histogram.groupBy("key").agg(mean.alias("mean"), (longer / mean).alias("usual")).filter("mean > 0"))
+    # The first guess is right where all documents have the usual size.
+    part = F.greatest(F.lit(1e-9), F.col("target") / (F.col("source_size") * float(mix.limit)))
+    guess = F.when(whole, F.lit(1e6)).otherwise(F.log(part / (1 - part)) / F.col("usual"))
+    state = stash(
+        goals.join(means, "key").select(
+            "key", "target", "source_size", guess.alias("multiplier"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), whole.alias("done")
         )
-    )
-    means = cut(histogram.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean")).filter("mean > 0"))
-    cells = cut(histogram.filter("size > 0").join(means, "key").withColumn("x", F.col("size") / F.col("mean")))
-    for _ in range(mix.steps):
+    )
+    cells = stash(histogram.filter("size > 0").join(means, "key").withColumn("x", F.col("size") / F.col("mean")))
+    steps = 0
+    while left := state.filter("not done").count():
+        if steps == mix.steps:
+            raise RuntimeError(f"entropy balancing did not meet the targets of {left} sources in {steps} steps")
+        steps += 1
         rate = _rate(F.col("multiplier"), F.col("x"), mix.limit)
-        words = F.col("size") * F.col("n")
         sums = (
             cells.join(state.filter("not done"), "key")
             .groupBy("key")
@@ -107,7 +125,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
             .withColumn("new_high", high)
             .withColumn("now_done", F.col("done") | F.coalesce(met, F.lit(True)))
         )
-        state = cut(
+        later = stash(
             moved.select(
                 "key", "target", "source_size",
                 F.when(F.col("now_done"), F.col("multiplier")).when(inside, newton).otherwise(halfway).alias("multiplier"),
@@ -116,9 +134,11 @@ def multipliers(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
                 F.col("now_done").alias("done"),
             )
         )
-        if state.filter("not done").isEmpty():
-            break
-    return state.select("key", "multiplier").join(means, "key")
+        discard(state)
+        state = later
+    solved = stash(state.select("key", "multiplier").join(means.select("key", "mean"), "key"))
+    discard(state, means, cells)
+    return solved
 
 
 def _copies(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
@@ -128,26 +148,31 @@ def _copies(histogram: DataFrame, goals: DataFrame, mix: Mix) -> DataFrame:
     order = Window.partitionBy("key").orderBy("size")
     expected = histogram.filter("size > 0").join(solved, "key").withColumn("run", F.sum(rate * F.col("n")).over(order))
     upto = F.floor(F.col("run") + 0.5)
-    cells = expected.select(
-        "key", "size", "n", F.greatest(F.lit(0), F.least(F.col("n") * mix.limit, upto - F.coalesce(F.lag(upto).over(order), F.lit(0)))).alias("copies")
-    )
-    cells = cut(cells)
-    for _ in range(mix.repairs):
+    share = upto - F.coalesce(F.lag(upto).over(order), F.lit(0))
+    cells = stash(expected.select("key", "size", "n", F.greatest(F.lit(0), F.least(F.col("n") * mix.limit, share)).cast("long").alias("copies")))
+    discard(solved)
+    while True:
         left = cells.groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("got")).join(goals.select("key", "target"), "key")
         left = left.select("key", (F.col("target") - F.col("got")).alias("gap"))
         # Of the sizes that fit into the gap, the largest first, as many as fit; what is left is smaller than one of them.
+        # The first of them always fits, so every round narrows a gap or ends.
         room = F.when(F.col("gap") > 0, F.col("n") * mix.limit - F.col("copies")).otherwise(F.col("copies"))
         fitting = cells.join(left, "key").withColumn("room", room).filter((F.col("room") > 0) & (F.col("size") <= F.abs("gap")))
         before = Window.partitionBy("key").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
         used = F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0))
         times = F.greatest(F.lit(0), F.least(F.col("room"), F.floor((F.abs("gap") - used) / F.col("size"))))
         changes = fitting.select("key", "size", (times * F.signum("gap")).cast("long").alias("change")).filter("change <> 0")
-        cells = cut(
+        changes = stash(changes)
+        if changes.isEmpty():
+            discard(changes)
+            return cells
+        later = stash(
             cells.join(changes, ["key", "size"], "left").select(
                 "key", "size", "n", (F.col("copies") + F.coalesce("change", F.lit(0))).cast("long").alias("copies")
             )
         )
-    return cells
+        discard(cells, changes)
+        cells = later
 
 
 def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -155,23 +180,25 @@ def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     ``size`` counts words and is 0 for a null text; such rows are taken 0
     times.  The choice among documents of one source and size follows hashes of
-    their ids, so reruns agree; repeated rows are told apart only by their
-    number.  Other columns are ignored; no rows give no rows.
+    their ids and texts, so reruns agree; repeated rows are told apart only by
+    their number.  A null source is one of its own, the last.  Other columns are
+    ignored; no rows give no rows.
     """
-    sized = cut(
+    sized = stash(
         documents.select(
             "doc_id",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             "source",
             F.xxhash64(utf8("text")).alias("text_key"),
             _source_key().alias("key"),
-            F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(BUCKETS)).cast("int").alias("bucket"),
+            F.pmod(F.xxhash64("doc_id", utf8("text")), F.lit(BUCKETS)).cast("int").alias("bucket"),
         )
     )
-    counts = cut(sized.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("here")))
-    histogram = cut(counts.groupBy("key", "size").agg(F.sum("here").alias("n")))
-    goals = cut(targets(histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), mix))
+    counts = stash(sized.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("here")))
+    histogram = stash(counts.groupBy("key", "size").agg(F.sum("here").alias("n")))
+    goals = stash(targets(histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), mix))
     cells = _copies(histogram, goals, mix)
+    discard(histogram)
     # Of n documents with c copies, each gets c div n and c mod n get one more, dealt to buckets in proportion.
     order = Window.partitionBy("key", "size").orderBy("bucket")
     dealt = (
@@ -182,7 +209,7 @@ def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     )
     upto, before = F.floor(F.col("run") * F.col("more") / F.col("n")), F.floor((F.col("run") - F.col("here")) * F.col("more") / F.col("n"))
     dealt = dealt.select("key", "size", "bucket", "each", (upto - before).alias("more"))
-    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy(F.xxhash64("doc_id"), "doc_id", "text_key"))
     out = (
         sized.withColumn("place", place)
         .join(dealt, ["key", "size", "bucket"], "left")
@@ -194,14 +221,29 @@ def mixed(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mixture(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """``documents`` with every row as often as the mix holds it, all columns as they are."""
+    """``documents`` with every row as often as the mix holds it, all columns as they are.
+
+    No row comes more than ``limit`` times as often as before.  Rows with one
+    id, text and source share their copies evenly, those that differ in other
+    columns in the order of these.  Null and blank texts go; no rows give no rows.
+    """
     names = [f"column{k}" for k in range(len(documents.columns))]
     at = dict(zip(documents.columns, names, strict=True))
-    keyed = documents.toDF(*names).withColumn("text_key", F.xxhash64(utf8(at["text"])))
-    # Repeated rows are told apart only by their number: what they get together is dealt to one of them.
-    together = mixed(documents, mix).groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_key").alias("mixed_key")).agg(F.sum("copies").cast("int").alias("copies"))
-    once = keyed.dropDuplicates([at["doc_id"], "text_key"])
-    same = once[at["doc_id"]].eqNullSafe(together["mixed_id"]) & (once["text_key"] == together["mixed_key"])
-    held = once.join(together.filter("copies > 0"), same)
-    repeated = held.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    keyed = documents.toDF(*names).withColumn("text_key", F.xxhash64(utf8(at["text"]))).withColumn("source_key", _source_key(at["source"]))
+    copies = mixed(documents, mix).groupBy(F.col("doc_id").alias("mixed_id"), F.col("text_key").alias("mixed_text"), _source_key().alias("mixed_source"))
+    together = stash(copies.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0"))
+    same = (
+        keyed[at["doc_id"]].eqNullSafe(together["mixed_id"])
+        & (keyed["text_key"] == together["mixed_text"])
+        & (keyed["source_key"] == together["mixed_source"])
+    )
+    once = keyed.join(together.filter("rows = 1"), same).select(*names, "copies")
+    # Repeated rows: as many of each kind as its share, by carrying the remainder from kind to kind.
+    kinds = keyed.join(together.filter("rows > 1"), same).groupBy("text_key", "source_key", *names).agg(
+        F.count(F.lit(1)).alias("here"), F.max("copies").alias("all"), F.max("rows").alias("rows")
+    )
+    kinds = kinds.withColumn("run", F.sum("here").over(Window.partitionBy(at["doc_id"], "text_key", "source_key").orderBy(*names)))
+    upto, before = F.floor(F.col("run") * F.col("all") / F.col("rows")), F.floor((F.col("run") - F.col("here")) * F.col("all") / F.col("rows"))
+    shared = kinds.select(*names, (upto - before).alias("copies")).filter("copies > 0")
+    repeated = once.unionByName(shared).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
     return repeated.select(*[F.col(n).alias(c) for c, n in at.items()])
