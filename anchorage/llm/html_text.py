@@ -1,13 +1,17 @@
-"""Main text of web pages by markup and nearest-URL page differencing.
+"""Main text of web pages by nearest-URL page differencing, guarded by markup.
 
-A page is read into blocks of text.  Parts that the markup itself names as
-menus, headers, footers, sidebars, notices, adverts, forms or comments are
-left out, and where a page marks its article, the rest is too.  Pages of a host
-are ordered by URL path and neighbours are aligned line by line with a longest
-common subsequence; lines that a page shares with its nearest neighbour are
-template text and are deleted.  Two things are exempt, because deleting them
-loses articles: running text inside a marked article, and pages of which one has
-next to no text that the other lacks, which are copies and not pages of one template.
+A page is read into lines, one for each block of text, template and all.  The
+pages of a host are ordered by URL path and each is aligned with its nearest
+neighbour by a longest common subsequence of lines; lines that both have are
+template text and are deleted.  A neighbour with next to no text of its own is
+a copy and not a page of one template; the other neighbour is taken then, and
+between copies nothing is deleted.
+
+Markup guards both sides, as pages of a host share sentences and differ in
+their menus and adverts.  Running text inside a marked article is not deleted;
+and of the lines that are not shared, those that the markup itself names as
+menu, header, footer, sidebar, notice, advert, form or comment are left out,
+as is what stands outside of the article of a page that marks one.
 
 The order of pages is a distributed sort; neighbours meet in a join on their
 rank, so a host of any size spreads over all tasks.  Only hashes of lines
@@ -17,16 +21,16 @@ travel; page texts are built in a second reading.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anchorage.llm.common import cut, list_column, map_batches
+from anchorage.llm.common import discard, list_column, map_batches, stash
 
 # HTML's elements by how they matter here.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes", "math", "object"}
@@ -101,12 +105,12 @@ def _set_aside(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
-    """Blocks of text in page order, each with whether it is in a marked article and whether most of it is links.
+def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool, bool]]:
+    """Blocks of text in page order, each with whether it is in a marked article, whether most of it is links, and whether it is set aside.
 
     With ``unwrap``, an article is read although elements around it have names of what is no article.
     """
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, set aside, article, may be a wrapper
     aside = article = links = 0
     text: list[str] = []
@@ -120,7 +124,7 @@ def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
                 joined = unescape(joined)
             words = " ".join(joined.split())
             if words:
-                out.append((words, article > 0, 2 * linked > len(words)))
+                out.append((words, article > 0, 2 * linked > len(words), aside > 0))
             text.clear()
         linked = 0
 
@@ -128,7 +132,7 @@ def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
     while at < end:
         match = _TOKEN.search(html, at)
         start = match.start() if match else end
-        if start > at and not aside:
+        if start > at:
             piece = html[at:start]
             text.append(piece)
             if links:
@@ -143,7 +147,7 @@ def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
         if name in INLINE:
             if name == "a":
                 links = 0 if match[1] else 1
-            elif name == "br" and not aside:
+            elif name == "br":
                 text.append(" ")
             elif not match[1] and match[3] and not aside and name not in VOID and _set_aside(name, match[3], article > 0):
                 close_tag = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
@@ -154,8 +158,7 @@ def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
                 closing = _END_OF[name].search(html, at)
                 at = closing.end() if closing else end
             continue
-        if not aside:
-            close()
+        close()
         links = 0
         if name in VOID or name == "p" or name in WHOLE_PAGE:
             continue
@@ -180,18 +183,38 @@ def blocks(html: str, unwrap: bool = False) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def candidates(html: str) -> list[tuple[str, bool, bool]]:
-    """The blocks of a page's marked articles, or where it marks none, all that are not links."""
+class Line(NamedTuple):
+    """A line of a page; ``kept`` by the markup if it is not shared, ``free`` to be deleted if it is."""
+
+    text: str
+    kept: bool
+    free: bool
+
+
+def page_lines(html: str) -> list[Line]:
+    """All lines of a page.
+
+    The markup keeps the blocks of marked articles, or where a page marks none,
+    all that are neither set aside nor links; running text of an article is not free.
+    """
     found = blocks(html)
-    if any(inside for _, inside, _ in found):
-        return [b for b in found if b[1]]
-    plain = [b for b in found if not b[2]]
-    if _MARKED.search(html):
+    marked = any(inside and not aside for _, inside, _, aside in found)
+    if not marked and _MARKED.search(html):
         # An article in an element that is set aside: the page's article, if it is longer than what else there is.
-        wrapped = [b for b in blocks(html, unwrap=True) if b[1]]
-        if sum(len(b[0]) for b in wrapped) > sum(len(b[0]) for b in plain):
-            return wrapped
-    return plain
+        again = blocks(html, unwrap=True)
+        wrapped = sum(len(text) for text, inside, _, aside in again if inside and not aside)
+        if wrapped > sum(len(text) for text, _, links, aside in found if not links and not aside):
+            found, marked = again, True
+    out = []
+    for text, inside, links, aside in found:
+        kept = not aside and (inside if marked else not links)
+        out.append(Line(text, kept, not (kept and inside and not links)))
+    return out
+
+
+def candidates(html: str) -> list[Line]:
+    """The lines that a page's markup keeps."""
+    return [line for line in page_lines(html) if line.kept]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -261,29 +284,6 @@ def _bit_rows(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _unique_lines(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    def once(lines: list[int]) -> dict[int, int]:
-        at: dict[int, int] = {}
-        for k, line in enumerate(lines):
-            at[line] = -1 if line in at else k
-        return at
-
-    in_b = once(b)
-    pairs = [(i, in_b[line]) for line, i in once(a).items() if i >= 0 and in_b.get(line, -1) >= 0]
-    tails: list[int] = []
-    ends: list[int] = []
-    back = [-1] * len(pairs)
-    for k, (_, j) in enumerate(pairs):
-        t = bisect_left(tails, j)
-        back[k] = ends[t - 1] if t else -1
-        tails[t : t + 1], ends[t : t + 1] = [j], [k]
-    out, k = [], ends[-1] if ends else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = back[k]
-    return out[::-1]
-
-
 def closeness(a: str, b: str) -> int:
     """How near two URL paths are: equal leading segments first, equal leading characters then."""
     x, y = a.split("/"), b.split("/")
@@ -292,16 +292,24 @@ def closeness(a: str, b: str) -> int:
     return (segments << 16) + min(characters, 0xFFFF)
 
 
+def are_copies(one: int, other: int, shared: int) -> bool:
+    """Whether two pages are copies, by the sizes of the text that the markup keeps and of what of it they share."""
+    less, more = sorted((one, other))
+    return COPY_PART * (less - shared) <= less and 2 * shared >= more
+
+
 def template_lines(lines: list[int], sizes: list[int], free: list[bool], pairs: list[int], shared_size: int, other_size: int) -> list[int]:
     """Which shared lines of a page to delete: all but running text of its article, none if the two pages are copies."""
-    less, more = sorted((sum(sizes), other_size))
-    if COPY_PART * (less - shared_size) <= less and 2 * shared_size >= more:
-        return []
-    return [k for k in pairs if free[k]]
+    return [] if are_copies(sum(sizes), other_size, shared_size) else [k for k in pairs if free[k]]
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """(page_key, deleted): for each page, the lines that it shares with its nearest neighbour and that are template text."""
+    """(page_key, n_lines, deleted, kept) for each page with a neighbour: the lines to delete, and which of all lines the markup keeps.
+
+    ``deleted`` are the lines that a page shares with its nearest neighbour and
+    that are template text.  Of two neighbours as near, the one before counts,
+    and one that is a copy only if both are.
+    """
     url = F.coalesce("url", F.lit(""))
     keyed = pages.select(
         page_key().alias("page_key"),
@@ -313,45 +321,49 @@ def neighbours(pages: DataFrame) -> DataFrame:
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
         lines, sizes, free = [], [], []
         for html in batch.column(3):
-            found = candidates(html.as_py())
-            lines.append(np.array([xxhash.xxh64_intdigest(b[0]) for b in found], np.uint64).view(np.int64))
-            sizes.append(np.array([len(b[0]) for b in found], np.int32))
-            free.append(np.array([not b[1] or b[2] for b in found], np.int32))
-        arrays = [list_column(lines, pa.int64()), list_column(sizes, pa.int32()), list_column(free, pa.int32())]
+            found = page_lines(html.as_py())
+            lines.append(np.array([xxhash.xxh64_intdigest(b.text) for b in found], np.uint64).view(np.int64))
+            sizes.append(np.array([len(b.text) if b.kept else 0 for b in found], np.int32))
+            free.append(np.array([b.free for b in found], np.int8))
+        arrays = [list_column(lines, pa.int64()), list_column(sizes, pa.int32()), list_column(free, pa.int8())]
         return pa.record_batch([*batch.columns[:3], *arrays], names=["page_key", "host", "path", "lines", "sizes", "free"])
 
-    schema = "page_key long, host string, path string, lines array<long>, sizes array<int>, free array<int>"
+    schema = "page_key long, host string, path string, lines array<long>, sizes array<int>, free array<tinyint>"
     read_pages = map_batches(keyed.filter("host <> ''"), read, schema)
     # Copies of a row have one key; one of them stands for all.
-    ordered = cut(read_pages.dropDuplicates(["page_key"]).orderBy("host", "path", "page_key"))
-    part = F.spark_partition_id()
-    sizes = dict(ordered.groupBy(part.alias("part")).count().collect())  # one number a partition
-    before, offsets = 0, []
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(before)
-        before += sizes.get(p, 0)
-    start = F.element_at(F.lit(np.array(offsets or [0], np.int64)), part + 1)
-    ranked = ordered.withColumn("rank", start + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    follower = ranked.select((F.col("rank") - 1).alias("rank"), *[F.col(c).alias(f"next_{c}") for c in ordered.columns])
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_pages = read_pages.dropDuplicates(["page_key"]).orderBy("host", "path", "page_key")
+    ordered = stash(sorted_pages.select("*", F.spark_partition_id().alias("part"), within.alias("at")))
+    # One row a partition of the sort.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = ordered.join(parts, "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
+    follower = ranked.select((F.col("rank") - 1).alias("rank"), *[F.col(c).alias(f"next_{c}") for c in read_pages.columns])
     pairs = ranked.join(follower, "rank").filter("host = next_host").select(
         "page_key", "path", "lines", "sizes", "free", "next_page_key", "next_path", "next_lines", "next_sizes", "next_free"
     )
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, near, gone = [], [], []
+        rows = []
         for key, path, a, a_sizes, a_free, next_key, next_path, b, b_sizes, b_free in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             shared = common_lines(a, b)
-            size = sum(a_sizes[i] for i, _ in shared)
-            keys += [key, next_key]
-            near += [2 * closeness(path, next_path), 2 * closeness(path, next_path) + 1]  # of two as near, the one before
-            gone.append(template_lines(a, a_sizes, a_free, [i for i, _ in shared], size, sum(b_sizes)))
-            gone.append(template_lines(b, b_sizes, b_free, [j for _, j in shared], size, sum(a_sizes)))
-        columns = [pa.array(keys, pa.int64()), pa.array(near, pa.int64()), pa.array(gone, pa.list_(pa.int32()))]
-        return pa.record_batch(columns, names=["page_key", "near", "deleted"])
-
-    compared = map_batches(pairs, compare, "page_key long, near long, deleted array<int>")
-    nearest = compared.groupBy("page_key").agg(F.max(F.struct("near", "deleted"))["deleted"].alias("deleted"))
-    return nearest.filter("size(deleted) > 0")
+            size = sum(min(a_sizes[i], b_sizes[j]) for i, j in shared)
+            differ = not are_copies(sum(a_sizes), sum(b_sizes), size)
+            near = 2 * closeness(path, next_path)
+            for own, own_sizes, free, own_near, pairs_of, other in (
+                (key, a_sizes, a_free, near, [i for i, _ in shared], sum(b_sizes)),
+                (next_key, b_sizes, b_free, near + 1, [j for _, j in shared], sum(a_sizes)),
+            ):
+                rows.append((own, differ, own_near, len(free), template_lines([], own_sizes, free, pairs_of, size, other), [x > 0 for x in own_sizes]))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.record_batch(columns, names=["page_key", "differ", "near", "n_lines", "deleted", "kept"])
+
+    compared = map_batches(pairs, compare, "page_key long, differ boolean, near long, n_lines int, deleted array<int>, kept array<boolean>")
+    best = F.max(F.struct("differ", "near", "n_lines", "deleted", "kept")).alias("best")
+    out = stash(compared.groupBy("page_key").agg(best).select("page_key", "best.n_lines", "best.deleted", "best.kept"))
+    discard(ordered)
+    return out
 
 
 def page_key():
@@ -364,26 +376,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     A null html is empty and has the empty text; a page without a host, or
     alone on its host, has no neighbour and keeps what its markup leaves.
-    Repeated rows have equal results; other columns are ignored.
+    Repeated rows have equal results; other columns are ignored; no rows give
+    no rows.
     """
-    deleted = neighbours(pages)
+    # Deleted lines that the markup would leave out as well need not travel to the second reading.
+    found = neighbours(pages)
+    gone = F.filter("deleted", lambda k: F.element_at("kept", k + 1))
+    deleted = stash(found.select("page_key", gone.alias("deleted")).filter("size(deleted) > 0"))
+    discard(found)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, free = [], []
-        for html in batch.column(2):
-            found = candidates(html.as_py() or "")
-            lines.append([b[0] for b in found])
-            free.append(any(not b[1] or b[2] for b in found))
-        columns = [batch.column(0), batch.column(1), batch.column(3), pa.array(lines, pa.list_(pa.string())), pa.array(free, pa.bool_())]
-        return pa.record_batch(columns, names=["page_id", "url", "page_key", "lines", "free"])
-
-    schema = f"page_id {kind}, url string, page_key long, lines array<string>, free boolean"
-    read_pages = map_batches(pages.select("page_id", "url", "html", page_key().alias("page_key")), read, schema)
-    # Pages of which no line may be deleted need no join: they are read once more instead of travelling.
-    sure = read_pages.filter("not free").select("page_id", "url", "lines")
-    rest = read_pages.filter("free").join(deleted.hint("shuffle_hash"), "page_key", "left")
-    left = F.filter("lines", lambda line, k: ~F.coalesce(F.array_contains("deleted", k), F.lit(False)))
-    both = sure.unionByName(rest.select("page_id", "url", left.alias("lines")))
-    text = F.array_join("lines", "\n")
-    return both.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+        texts = []
+        for html, shared in zip(batch.column(2), batch.column(3), strict=True):
+            cut = set(shared.as_py() or ())
+            texts.append("\n".join(line.text for k, line in enumerate(page_lines(html.as_py() or "")) if line.kept and k not in cut))
+        sizes = pa.array([len(t) for t in texts], pa.int64())
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
+
+    rows = pages.select("page_id", "url", "html", page_key().alias("page_key")).join(deleted, "page_key", "left")
+    return map_batches(rows.select("page_id", "url", "html", "deleted"), read, f"page_id {kind}, url string, text string, n_chars long")

@@ -59,8 +59,6 @@ def test_common_lines():
         pairs = html_text.common_lines(a, b)
         assert len(pairs) == lcs(tuple(a), tuple(b)) and all(a[i] == b[j] for i, j in pairs)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
-        once = html_text._unique_lines(a, b)
-        assert all(a[i] == b[j] and a.count(a[i]) == b.count(b[j]) == 1 for i, j in once)
 
 
 def test_differencing_by_nearest_url(spark):
