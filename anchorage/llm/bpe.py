@@ -167,7 +167,8 @@ def encoded(documents: DataFrame, ranks: str | Callable[[], str], pattern: str,
     ``ranks`` is a vocabulary file that every worker has, or a function giving
     its path there.  Ids are digested as little-endian unsigned 32-bit integers,
     and decoded again for the digest of the decoded bytes.  Null and empty texts
-    have no tokens.  Repeated rows get a row each.  Other columns are ignored.
+    have no tokens.  Repeated rows get a row each.  Other columns are ignored; no
+    rows give no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -101,12 +101,17 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(place)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was to go at the end."""
+    place, files = _place(spark, path)
+    files.delete(place, True)
+    files.cancelDeleteOnExit(place)
+
+
 def discard(*stashed: DataFrame) -> None:
     """Delete what ``stash`` wrote, once nothing that is still to run reads it."""
     for one in stashed:
-        place, files = _place(one.sparkSession, one.stash_path)
-        files.delete(place, True)
-        files.cancelDeleteOnExit(place)
+        delete(one.sparkSession, one.stash_path)
 
 
 @contextmanager

@@ -15,34 +15,42 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16, by the stored map of 8,192 virtual slots; nulls, repeated rows and no rows as in ``shard_documents``."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as JPEG and read back; nulls, repeated rows and no rows as in ``media_digests``."""
     return jpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near duplicates at 85 percent; nulls, repeated rows and no rows as in ``near_duplicates``."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's scores; nulls, repeated rows and no rows as in ``scores``."""
     return ngram_lm.scores(table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of the mix; nulls, repeated rows and no rows as in ``mixed``."""
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's statistics and verdict; nulls, repeated rows and no rows as in ``quality_rules``."""
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without what smaller documents have; nulls, repeated rows and no rows as in ``digests``."""
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's probabilities and verdicts by a chain trained on ``labels``; nulls, repeated rows and no rows as in ``train_on`` and ``predict``."""
     documents = table(spark, sf_dir, "documents")
     categories = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     chain = toxicity.train_on(documents, table(spark, sf_dir, "labels"), categories)
@@ -50,11 +58,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's token ids as digests; nulls, repeated rows and no rows as in ``encoded``."""
     ranks = public_tokenizers.path(VOCABULARY)
     return bpe.encoded(table(spark, sf_dir, "documents"), str(ranks), public_tokenizers.PATTERN)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text; nulls, repeated rows and no rows as in ``main_text``."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 

@@ -6,8 +6,8 @@ categories before it; while it is trained, these are out-of-fold predictions,
 made by models that have not seen the row, so it learns how far to trust them.
 Decision thresholds come from out-of-fold predictions as well.
 
-Training takes at most ``max_rows`` labelled rows, those with the least hashes
-of their ids; scoring reads every whole text once, without a shuffle.
+Training takes at most ``max_rows`` labelled documents, those with the least
+hashes of their ids; scoring reads every whole text once, without a shuffle.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 @dataclass(frozen=True)
 class Params:
-    #: Labelled rows to train on, at most.
+    #: Labelled documents to train on, at most; this bounds what reaches the driver.
     max_rows: int = 8_000
     folds: int = 5
     #: Hashed features.
@@ -144,16 +144,25 @@ def _flatten(texts: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_on(documents: DataFrame, labels: DataFrame, categories: dict[str, Column], params: Params = Params()) -> list[Linear]:
-    """Train a chain on the bounded sample of labelled documents; a null label counts as negative, a null text as empty."""
+    """Train a chain on the bounded sample of labelled documents.
+
+    A null label counts as negative, a null text as empty; rows without an id
+    are not used.  The bound holds for documents with their labels, so it holds
+    as well where ids repeat; of rows alike in id and labels the one whose text
+    has the least hash is used.  Without labelled documents every probability
+    is even and nothing reaches its threshold.
+    """
     bounded_batches(documents.sparkSession)
-    sample = (
-        labels.filter("doc_id is not null")
-        .select("doc_id", *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"label_{k}") for k, c in enumerate(categories.values())])
-        .orderBy(F.xxhash64("doc_id"), "doc_id", *[f"label_{k}" for k in range(len(categories))])
-        .limit(params.max_rows)
-    )
-    joined = documents.select("doc_id", utf8("text").alias("text")).join(F.broadcast(sample), "doc_id")
     names = [f"label_{k}" for k in range(len(categories))]
+    marks = labels.filter("doc_id is not null").select(
+        "doc_id", *[F.coalesce(c.cast("int"), F.lit(0)).alias(n) for n, c in zip(names, categories.values(), strict=True)]
+    )
+    # First the keys, at most so many of them; then the texts of these alone.
+    order = (F.xxhash64("doc_id"), "doc_id", *names)
+    some = marks.distinct().orderBy(*order).limit(params.max_rows)
+    text = documents.select("doc_id", utf8("text").alias("text"))
+    keyed = text.join(F.broadcast(some), "doc_id").groupBy("doc_id", *names).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    joined = keyed.orderBy(*order).limit(params.max_rows)
     bits = params.bits
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -174,7 +183,8 @@ def train_on(documents: DataFrame, labels: DataFrame, categories: dict[str, Colu
 def predict(documents: DataFrame, chain: list[Linear], names: list[str], params: Params = Params()) -> DataFrame:
     """(doc_id, p_<name> and <name> for each category) for every row of ``documents`` (doc_id, text).
 
-    A null text is empty.  Repeated rows have equal results.
+    A null text is empty.  Repeated rows have equal results; other columns are
+    ignored; no rows give no rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(chain)
     bits = params.bits
