@@ -1,78 +1,18 @@
-"""From raw documents to token ids in five stages.
-
-Every stage works on all rows that the one before it kept and returns the
-columns of ``documents``, but for the last, which returns token ids.  The
-driver runs ``STAGES`` one by one, with Parquet between them; ``run`` does the
-same, with the Parquet in the session's checkpoint folder.
-"""
+"""The corpus pipeline: its stages, and a run of them over ``documents``."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from anchorage.llm import bpe, minhash, mixing, quality, substring
-from anchorage.llm.common import shared_folder, table
-from anchorage.llm.queries import VOCABULARY
-
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go.  No documents give none."""
-    return quality.kept_documents(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; of repeated rows one stays."""
-    return minhash.kept_documents(docs)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that a document with a smaller id has too go; ``n_chars`` follows the text.
-
-    A document of which nothing is left stays, with an empty text.
-    """
-    shorter = substring.deduplicated(docs)
-    if "n_chars" not in docs.columns:
-        return shorter
-    kind = docs.schema["n_chars"].dataType
-    return shorter.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(kind))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, from not at all to twice; documents without words go."""
-    return mixing.mixture(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, their number, and digests of the ids and of the bytes they decode to."""
-    return bpe.encoded(docs, str(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN, with_ids=True)
 
+from anchorage.llm import stages
+from anchorage.llm.common import table
 
-STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("mix_sources", mix_sources),
-    ("encode", encode),
-]
+STAGES = stages.STAGES
 
 #: Near duplicates, entropy balancing and BPE are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
-    return docs
+    """All stages over ``documents``; no documents give no rows."""
+    return stages.run(spark, table(spark, sf_dir, "documents"), sf_dir)
