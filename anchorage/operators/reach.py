@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,16 +21,19 @@ class Reached:
     truncated: bool
 
 
-def reach(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> Reached:
+def reach(seeds: DataFrame, edges: DataFrame | Callable[[DataFrame], DataFrame], max_depth: int = MAX_DEPTH) -> Reached:
     """Nodes that seeds (node) lead to over edges (src, dst) in at most ``max_depth`` steps; cycles are fine.
 
+    ``edges`` may be a function that gives those from a level's nodes, for each level in turn.
+
     Each level is one join of the frontier and one anti-join with what was
     seen, written to the shared folder; one number a level reaches the driver.
     """
     frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while True:
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
+        out = edges(frontier) if callable(edges) else edges
+        step = frontier.join(out, frontier["node"] == out["src"]).select(F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth + 1)))
         if new.isEmpty():
             return Reached(seen, False)
@@ -47,11 +51,15 @@ class Crawl:
     complete: bool
 
 
-def crawl_site(courses: DataFrame, listing: DataFrame, children: DataFrame, limit: int | None = None, max_depth: int = MAX_DEPTH) -> Crawl:
+def crawl_site(
+    courses: DataFrame, listing: DataFrame, children: DataFrame | Callable[[DataFrame], DataFrame], limit: int | None = None, max_depth: int = MAX_DEPTH
+) -> Crawl:
     """Follow a site's courses (ord, url, title) through the links between its pages.
 
     ``listing`` has the site's pages (slug, ...) and ``children`` their links
-    (slug, child_url).  Pages are told apart by slug.  A course that the listing
+    (slug, child_url), or gives those of a level's pages (slug).  Pages are told
+    apart by slug; of several with one slug that with the least id counts, or
+    without ids the one whose columns are least.  A course that the listing
     lacks is reported; any other URL that it lacks is no page.  A crawl is
     complete unless ``limit`` or ``max_depth`` cut it, or no course is listed;
     only a complete one may prune.
@@ -59,9 +67,15 @@ def crawl_site(courses: DataFrame, listing: DataFrame, children: DataFrame, limi
     ranked = courses.withColumn("slug", slug("url"))
     first = ranked.groupBy("slug").agg(F.min("ord").alias("sort_order"))
     seeds = first.filter(F.col("sort_order") < limit) if limit is not None else first
-    pages = listing.dropDuplicates(["slug"])
-    edges = children.select(F.col("slug").alias("src"), slug("child_url").alias("dst")).distinct()
-    edges = edges.join(pages.select(F.col("slug").alias("dst")), "dst", "left_semi")
+    order = sorted((c for c in listing.columns if c != "slug"), key=lambda c: c != "id")
+    one = listing.groupBy("slug").agg(F.min(F.struct(*order)).alias("page")) if order else listing.select("slug").distinct()
+    pages = one.select("slug", *[F.col(f"page.{c}").alias(c) for c in order])
+
+    def edges_from(found: DataFrame) -> DataFrame:
+        edges = found.select(F.col("slug").alias("src"), slug("child_url").alias("dst")).distinct()
+        return edges.join(pages.select(F.col("slug").alias("dst")), "dst", "left_semi")
+
+    edges = (lambda level: edges_from(children(level.select(F.col("node").alias("slug"))))) if callable(children) else edges_from(children)
     start = seeds.join(pages.select("slug"), "slug", "left_semi").select(F.col("slug").alias("node"))
     found = reach(start, edges, max_depth)
     out = found.nodes.withColumnRenamed("node", "slug").join(pages, "slug").join(first, "slug", "left")

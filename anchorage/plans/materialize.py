@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -11,12 +12,16 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder of ``spark.checkpoint.dir`` and forget how it came about.
 
-    Only where that setting is absent, as in tests, a temporary folder is used.
+    Where that setting is absent, a temporary folder is used if everything runs
+    in one process, as in tests; on a cluster this raises RuntimeError.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
