@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 import time
 from datetime import UTC, datetime
@@ -12,7 +13,10 @@ from pyspark.sql import SparkSession
 from anchorage.functions.extract import external_links, listed_pages
 from anchorage.functions.html_dom import parse
 from anchorage.plans import runs
-from anchorage.sources import listing
+from anchorage.plans.materialize import cut
+from anchorage.plans.worker import Worker
+from anchorage.settings import Pace
+from anchorage.sources import listing, probe
 from anchorage.sources.store import Store
 
 
@@ -20,24 +24,18 @@ def _now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
 
-def _answers(spark: SparkSession, base: str, slugs: list[str]):
-    rows = []
-    for slug in slugs:
-        url = f"{base}/wp-json/wp/v2/pages?slug={slug}"
-        _, _, body = listing.get(lambda u=url: listing.fetch(u), time.sleep, lambda: datetime.now(UTC))
-        rows.append((url, body))
-    return spark.createDataFrame(rows, "url string, body string")
+def _crawl_site(store: Store, site, limit: int | None, force: bool) -> runs.CrawlTotals:
+    """Read the site's listing and index, and of its pages those that have changed, on the workers."""
+    listing.register(store.spark)
+    entries = cut(store.spark.read.format("site_listing").option("base_url", site.base_url).load())
+    _, _, index = listing.get(lambda: listing.fetch(site.course_index_url), time.sleep, lambda: datetime.now(UTC))
+    return runs.crawl(store, site.id, index, entries, lambda wanted: listing.fetch_pages(wanted, site.base_url), _now(), limit, force)
 
 
 def _crawl(store: Store, limit: int | None, force: bool) -> None:
-    spark = store.spark
-    listing.register(spark)
-    for site in store.read("sites").collect():
+    for site in store.read("sites").orderBy("slug").collect():
         try:
-            entries = spark.read.format("site_listing").option("base_url", site.base_url).load()
-            _, _, index = listing.fetch(site.course_index_url)
-            bodies = listing.page_records(_answers(spark, site.base_url, [r.slug for r in entries.select("slug").collect()]))
-            print(site.slug, runs.crawl(store, site.id, index, entries, bodies, _now(), limit, force))
+            print(site.slug, _crawl_site(store, site, limit, force))
         except Exception as e:  # one site's failure leaves the others
             print(f"{site.slug}: {e}", file=sys.stderr)
 
@@ -73,15 +71,9 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "report":
         print(runs.write_report(store, a.html), end="")
     else:
-        crawled = 0.0
-        while True:
-            if time.time() - crawled >= a.every:
-                _crawl(store, a.limit, a.force)
-                crawled = time.time()
-            busy = runs.check(store, _now(), 50)
-            if a.html:
-                runs.write_report(store, a.html)
-            time.sleep(1.0 if busy else min(300.0, a.every))
+        logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+        pace = Pace(crawl_seconds=a.every)
+        Worker(store, lambda site: _crawl_site(store, site, a.limit, a.force), probe.request, _now, a.html, pace).run()
     return 0
 
 

@@ -185,15 +185,22 @@ def progress_metrics() -> list[Column]:
 
 
 def info(places: DataFrame) -> DataFrame:
-    """A blurb to copy for each occurrence: one line for each thing known."""
-    def line(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull() & (value != ""), F.concat(F.lit(f"{name}: "), value))
+    """A blurb to copy for each occurrence: page, link, status with its reason, URL, and where known the context and the place."""
+
+    def given(value: Column) -> Column:
+        return F.nullif(value, F.lit(""))
 
     c = F.col
-    around = F.concat_ws(" … ", F.nullif(c("context_before"), F.lit("")), F.nullif(c("link_text"), F.lit("")), F.nullif(c("context_after"), F.lit("")))
-    reason = F.coalesce(c("last_error_type"), c("last_http_status").cast("string"))
+    reason = F.coalesce(given(c("last_error_type")), c("last_http_status").cast("string"))
+    before, after = F.coalesce(F.concat(given(c("context_before")), F.lit(" ")), F.lit("")), F.coalesce(F.concat(F.lit(" "), given(c("context_after"))), F.lit(""))
+    around = F.concat(F.lit("Context: …"), before, F.lit("["), F.coalesce("link_text", F.lit("")), F.lit("]"), after, F.lit("…"))
+    has_context = given(c("context_before")).isNotNull() | given(c("context_after")).isNotNull()
     lines = [
-        line("Page", F.concat(c("site_slug"), F.lit(": "), c("page_title"))), line("Link", c("link_text")), line("Status", c("status")),
-        line("Reason", reason), line("URL", c("url")), line("Context", around), line("Found on", c("href")),
-    ]
+        F.concat(c("site_slug"), F.lit(": "), c("page_title")),
+        F.concat(F.lit('Link: "'), F.coalesce(given(c("link_text")), F.lit("(no visible link text)")), F.lit('"')),
+        F.concat(F.lit("Status: "), c("status"), F.coalesce(F.concat(F.lit(" ("), reason, F.lit(")")), F.lit(""))),
+        F.concat(F.lit("URL: "), c("url")),
+        F.when(has_context, around),
+        F.concat(F.lit("Found on: "), given(c("href"))),
+    ]
     return places.withColumn("info", F.concat_ws("\n", *lines))

@@ -16,7 +16,7 @@ from anchorage.functions import extract
 from anchorage.operators import admission, reach, report, state, sync
 from anchorage.operators.admission import at
 from anchorage.plans.materialize import cut
-from anchorage.plans.render import html_report, text_report
+from anchorage.plans.render import html_lines, text_report
 from anchorage.settings import Admission
 from anchorage.sources import probe
 from anchorage.sources.store import Conflict, Store, Tables
@@ -177,7 +177,8 @@ def write_report(store: Store, path: str | None = None) -> str:
     if path is not None:
         target = Path(path)
         staged = target.with_name(f".{target.name}.{uuid.uuid4()}")
-        staged.write_text(html_report(tables), encoding="utf-8")
+        with staged.open("w", encoding="utf-8") as out:
+            out.writelines(f"{line}\n" for line in html_lines(tables))
         os.replace(staged, target)
     return text_report(tables)
 

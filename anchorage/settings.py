@@ -41,3 +41,20 @@ class Admission:
     per_host: int = 3
     interval: timedelta = timedelta(seconds=0.5)
     stale_after: timedelta = timedelta(seconds=300)
+
+
+@dataclass(frozen=True)
+class Pace:
+    """Seconds between rounds of the continuous worker, and how many links one poll may claim."""
+
+    crawl_seconds: float = 900.0
+    idle_seconds: float = 300.0
+    busy_seconds: float = 1.0
+    report_seconds: float = 300.0
+    progress_seconds: float = 30.0
+    room: int = 50
+
+
+# Fetching pages.
+CRAWL_CONCURRENCY = 5
+CRAWL_DELAY = 0.2

@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import json
 import math
+import urllib.error
 import urllib.request
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from time import sleep
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from anchorage.functions.urls import slug, unescape
-from anchorage.settings import LISTING_PAGE
+from anchorage.settings import CRAWL_CONCURRENCY, CRAWL_DELAY, LISTING_PAGE
 from anchorage.sources.retry import get
 
 ENTRY = "id bigint, slug string, link string, modified_gmt string"
@@ -62,6 +65,22 @@ def fetch(url: str, timeout: float = 20.0) -> tuple[int, dict[str, str], str]:
         return e.code, {k.lower(): v for k, v in e.headers.items()}, ""
 
 
+def fetch_pages(wanted: DataFrame, base_url: str, at_once: int = CRAWL_CONCURRENCY, delay: float = CRAWL_DELAY, ask=fetch) -> DataFrame:
+    """Page records of wanted slugs (slug, ...), looked up on the workers, at most ``at_once`` at a time and ``delay`` seconds apart in each."""
+    base = base_url.rstrip("/")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for name in batch.column(0).to_pylist():
+                url = f"{base}/wp-json/wp/v2/pages?slug={quote(name, safe='')}"
+                bodies.append(get(lambda u=url: ask(u), sleep, lambda: datetime.now(UTC))[2])
+                sleep(delay)
+            yield pa.record_batch([pa.array(bodies, pa.string())], names=["body"])
+
+    return page_records(wanted.select("slug").repartition(at_once).mapInArrow(run, "body string"))
+
+
 class ListingPart(InputPartition):
     def __init__(self, page: int) -> None:
         self.page = page
