@@ -56,21 +56,31 @@ def anchors(words: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[
     return chosen, grams[chosen]
 
 
+_reaches: dict[int, np.ndarray] = {}
+
+
+def _coefficients(width: int) -> np.ndarray:
+    """Two columns of odd numbers, from a fixed seed."""
+    if width not in _reaches:
+        _reaches[width] = np.random.default_rng(20240117).integers(1, 1 << 63, (width, 2), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+    return _reaches[width]
+
+
 def surroundings(words: np.ndarray, positions: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of all words that share a run with the anchor at each position, and of where the anchor stands in them."""
-    reach = window - gram
-    start, end = np.maximum(positions - reach, 0), np.minimum(positions + window, len(words))
-    full = end - start == window + reach
-    place = (positions - start).astype(U64) * U64(0x9E3779B97F4A7C15)
-    both = []
-    for family in (0, 1):
-        out = np.empty(len(positions), U64)
-        if full.any():
-            out[full] = gram_hashes(words, window + reach, family)[start[full]]
-        for k in np.flatnonzero(~full):
-            out[k] = gram_hashes(words[start[k] : end[k]], int(end[k] - start[k]), family)[0]
-        both.append(mix64(out + place))
-    return both[0], both[1]
+    """Two independent hashes of all words that share a run with the anchor at each position, and of where the text begins and ends.
+
+    They are sums of the words' hashes, each times a number of its place, and mixed at the end.
+    """
+    reach, width = window - gram, 2 * window - gram
+    padded = np.concatenate((np.zeros(reach, U64), words, np.zeros(window, U64)))
+    place = np.maximum(reach - positions, 0) * width + np.maximum(positions + window - len(words), 0)
+    sums = np.empty((len(positions), 2), U64)
+    for at in range(0, len(positions), 4096):
+        part = positions[at : at + 4096]
+        around = padded[part[:, None] + np.arange(width)]
+        sums[at : at + 4096] = np.einsum("ij,jk->ik", around, _coefficients(width))
+    sums += place.astype(U64)[:, None] * U64(0x9E3779B97F4A7C15)
+    return mix64(sums[:, 0].copy()), mix64(sums[:, 1].copy())
 
 
 def _keyed(documents: DataFrame) -> DataFrame:

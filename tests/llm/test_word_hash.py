@@ -52,25 +52,28 @@ def test_operators_tell_such_words_apart(spark):
     assert quality.text_statistics(memoryview(words))[4] == 0
 
 
-def test_surroundings_have_two_hashes(spark, monkeypatch):
-    """Where the first hash makes all surroundings alike, the second tells them apart; equal texts still go whole."""
+def test_surroundings_have_two_hashes(spark):
+    """Both tell different surroundings apart, by words and by where the text begins and ends, and are equal for equal ones."""
     r = random.Random(2)
-    texts = [" ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(120)) for _ in range(4)]
-    texts.append(texts[1])
-    plain = common.gram_hashes
-
-    def blind(words: np.ndarray, k: int, family: int = 0) -> np.ndarray:
-        out = plain(words, k, family)
-        return out if family or k <= substring.GRAM else np.zeros_like(out)
-
-    words = [np.array(common.hashed_words(t.encode())) for t in texts]
-    monkeypatch.setattr(substring, "gram_hashes", blind)
-    at, _ = substring.anchors(words[0])
-    near, again = substring.surroundings(words[0], at)
-    assert len(set(again.tolist())) == len(at)
-    monkeypatch.undo()
+    texts = [" ".join("".join(r.choice("abcdef") for _ in range(6)) for _ in range(n)) for n in (50, 51, 79, 80, 120, 400)]
+    texts.append(texts[4])
+    seen: list[dict] = [{}, {}]
+    for text in texts:
+        words = common.hashed_words(text.encode())
+        at, _ = substring.anchors(words)
+        for family, hashes in enumerate(substring.surroundings(words, at)):
+            for k, h in zip(at.tolist(), hashes.tolist(), strict=True):
+                own = (max(30 - k, 0), max(k + 50 - len(words), 0), tuple(words[max(k - 30, 0) : k + 50].tolist()))
+                assert seen[family].setdefault(h, own) == own
+    assert len(seen[0]) == len(seen[1]) == len(set(seen[0].values())) and not set(seen[0]) & set(seen[1])
+    # A word moved, doubled or dropped changes both.
+    base = texts[4].split()
+    changed = [base[:40] + [base[41], base[40]] + base[42:], base[:40] + [base[40]] + base[40:-1], base[:41] + base[42:] + ["end"]]
+    plain = substring.surroundings(common.hashed_words(" ".join(base).encode()), np.array([45]))
+    for words in changed:
+        other = substring.surroundings(common.hashed_words(" ".join(words).encode()), np.array([45]))
+        assert plain[0] != other[0] and plain[1] != other[1]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    gone = {x.doc_id: x.n_removed for x in substring.digests(docs).collect()}
-    assert gone == {0: 0, 1: 0, 2: 0, 3: 0, 4: 120}
-    kept = {x.doc_id: x.kept_sha256 for x in substring.digests(docs).collect()}
-    assert kept[4] == hashlib.sha256(b"").hexdigest()
+    got = {x.doc_id: x for x in substring.digests(docs).collect()}
+    assert [got[k].n_removed for k in range(7)] == [0, 0, 0, 0, 0, 0, 120]
+    assert got[6].kept_sha256 == hashlib.sha256(b"").hexdigest()
