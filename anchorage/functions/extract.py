@@ -199,3 +199,17 @@ def external(pages: DataFrame) -> DataFrame:
 def internal(pages: DataFrame) -> DataFrame:
     """(page_id, ord, child_url), one row for each internal link of each page."""
     return extract(pages).select("page_id", F.posexplode("internal").alias("ord", "child_url"))
+
+
+def listed(indexes: DataFrame) -> DataFrame:
+    """``listed_pages`` of every index page (html, index_url, base_url): (index_url, ord, url, title).  A null html lists nothing."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for html, index_url, base_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(index_url, r["ord"], r["url"], r["title"]) for r in (listed_pages(html, index_url, base_url) if html is not None else ())]
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["index_url", "ord", "url", "title"])
+
+    return indexes.select("html", "index_url", "base_url").mapInArrow(run, "index_url string, ord int, url string, title string")

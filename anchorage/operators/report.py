@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.functions.text import day_number, deep_link, occurrence_id
 from anchorage.operators.rules import RULES, apply_rules, live
 from anchorage.operators.state import classify
+from anchorage.plans.materialize import numbered
 from anchorage.settings import COURSE, KINDS, NOT_OK
 
 STATUSES = ("ok", "broken", "unreachable", "pending")
@@ -136,9 +137,13 @@ def page_groups(sites, pages, page_links, ranked: DataFrame) -> DataFrame:
 
 
 def with_rank(problems: DataFrame) -> DataFrame:
-    """Problem links with their place in the report; the list is what a person reads, so one task ranks it."""
-    order = ("status", F.col("course_key").asc_nulls_first(), F.desc("consecutive_failures"), "url")
-    return problems.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    """Problem links with their place in the report, by a range sort."""
+    return numbered(problems, ["status", F.col("course_key").asc_nulls_first(), F.desc("consecutive_failures"), "url"], "rank")
+
+
+def with_watch_rank(watched: DataFrame) -> DataFrame:
+    """Links under watch with their place in the report."""
+    return numbered(watched, [F.col("course_key").asc_nulls_first(), F.desc("consecutive_failures"), "url"], "rank")
 
 
 def with_deep_links(places: DataFrame) -> DataFrame:

@@ -5,27 +5,32 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder of ``spark.checkpoint.dir`` and forget how it came about.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder under ``spark.checkpoint.dir``, which driver and executors share.
 
     Where that setting is absent, a temporary folder is used if everything runs
     in one process, as in tests; on a cluster this raises RuntimeError.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and forget how it came about."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "id", start: int = 1) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "id", start: int = 1) -> DataFrame:
     """``df`` with row numbers in the order of columns that tell its rows apart.
 
     The rows are range-partitioned and sorted; numbers come from the partition's

@@ -33,14 +33,14 @@ _LIVE = "EXISTS (SELECT 1 FROM m_page_links o WHERE o.link_id = l.id)"
 _COLUMNS = ", ".join(f"l.{c}" for c in LINK_COLUMNS)
 
 
-def query(sql: str | None, model: bool = True):
-    """Register a function of a ``Model`` as a query, with its SQL."""
+def query(sql: str | None, model: bool = True, of: type[Model] = Model, tables: str = SQL):
+    """Register a function of a ``Model`` as a query, with its SQL, which follows that of the model's ``tables``."""
 
     def register(function: Callable[[Model], DataFrame]) -> Callable[[Model], DataFrame]:
         name = function.__name__
-        QUERIES[name] = lambda spark, sf_dir: function(Model(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: function(of(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = SQL + sql if model else sql
+            ORACLES[name] = tables + sql if model else sql
         return function
 
     return register

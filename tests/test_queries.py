@@ -11,6 +11,7 @@ import pytest
 duckdb = pytest.importorskip("duckdb")
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
+from anchorage.plans import lesson_queries  # noqa: E402, F401
 from anchorage.plans.queries import ORACLES, QUERIES  # noqa: E402
 
 
