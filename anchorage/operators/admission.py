@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
-from anchorage.operators.rules import RULES, apply_rules, live
+from anchorage.operators.rules import RULES, kept
 from anchorage.settings import NOT_OK, Admission
 
 
@@ -24,7 +24,7 @@ def due(links: DataFrame, now: datetime) -> DataFrame:
 
 def due_links(links: DataFrame, page_links: DataFrame, now: datetime, limit: int, rules=RULES) -> DataFrame:
     """The ``limit`` links due first, of those that pages have and rules keep; ties by id."""
-    chosen = apply_rules(live(due(links, now), page_links), page_links, rules)
+    chosen = kept(due(links, now), page_links, rules)
     return chosen.orderBy("next_check_at", "id").limit(limit)
 
 
@@ -46,7 +46,7 @@ def inflight(claims: DataFrame) -> DataFrame:
 def _candidates(links, page_links, clock, claims, now, admission, rules) -> DataFrame:
     """Claimable links with (last_request_started_at, has_clock) of their host; ``claims`` are fresh."""
     hosts = clock.select("host", "last_request_started_at", F.lit(True).alias("has_clock"))
-    open_links = apply_rules(live(due(links, now), page_links), page_links, rules).join(
+    open_links = kept(due(links, now), page_links, rules).join(
         claims.select(F.col("link_id").alias("id")), "id", "left_anti"
     )
     started = F.col("last_request_started_at")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.functions.text import day_number, deep_link, occurrence_id
-from anchorage.operators.rules import RULES, apply_rules, live
+from anchorage.operators.rules import RULES, apply_rules
+from anchorage.operators.rules import kept as rules_kept
 from anchorage.operators.state import classify
 from anchorage.plans.materialize import numbered
 from anchorage.settings import COURSE, KINDS, NOT_OK
@@ -44,7 +45,7 @@ def site_summaries(sites, pages, page_links, links, rules=RULES) -> DataFrame:
 
 def check_progress(page_links, links, rules=RULES) -> DataFrame:
     """(total, checked, percent) over links that pages have and rules keep; one row, zeros for none."""
-    counted = live(apply_rules(links, page_links, rules), page_links).agg(
+    counted = rules_kept(links, page_links, rules).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("last_checked_at").isNotNull()).alias("checked")
     )
     percent = F.when(F.col("total") > 0, F.lit(100.0) * F.col("checked") / F.col("total")).otherwise(F.lit(0.0))
@@ -61,7 +62,7 @@ def course_keys(sites, pages, page_links) -> DataFrame:
 
 def listed(sites, pages, page_links, links, rules=RULES) -> DataFrame:
     """Live links that rules keep, with ``course_key``."""
-    kept = live(apply_rules(links, page_links, rules), page_links)
+    kept = rules_kept(links, page_links, rules)
     keys = course_keys(sites, pages, page_links).withColumnRenamed("link_id", "id")
     return kept.join(keys, "id", "left")
 

@@ -56,6 +56,12 @@ def live(links: DataFrame, page_links: DataFrame) -> DataFrame:
     return links.join(page_links.select(F.col("link_id").alias("id")), "id", "left_semi")
 
 
+def kept(links: DataFrame, page_links: DataFrame, rules: tuple[HostRule | TextRule, ...] = RULES) -> DataFrame:
+    """Links that some page still has and every rule keeps; a text rule keeps only links that some page has, so one join tells both."""
+    out = apply_rules(links, page_links, rules)
+    return out if any(isinstance(rule, TextRule) and rule.texts for rule in rules) else live(out, page_links)
+
+
 #: What extraction and checking leave out by themselves, for the report.
 BY_DESIGN: tuple[tuple[str, str], ...] = (
     ("no text", "Links without text, such as images, are not extracted: nobody could find them on the page."),

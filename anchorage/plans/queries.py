@@ -13,6 +13,7 @@ from anchorage.functions.text import day_number, deep_link, percent_encode, rela
 from anchorage.functions.urls import host, is_link, page_identity, repair_scheme, slug, without_fragment
 from anchorage.operators import admission, reach, report, rules, state, sync
 from anchorage.operators.admission import at
+from anchorage.plans.materialize import numbered
 from anchorage.settings import Admission
 from anchorage.sources.derive import NOW, SQL, Model
 
@@ -186,13 +187,9 @@ def links_with_pages(m: Model) -> DataFrame:
   string_agg(CAST(l.id AS VARCHAR), ',' ORDER BY l.status, s.slug, l.consecutive_failures DESC, l.url, l.id) AS members
 FROM {_JOINED} WHERE {_FAILING} GROUP BY s.slug, p.title, p.url""")
 def page_groups(m: Model) -> DataFrame:
-    from pyspark.sql import Window
-
     listed = report.listed(m.sites, m.pages, m.page_links, _failing(m))
     # Members of a group are on one site: its order is by status, failures and URL.
-    order = Window.partitionBy("status").orderBy(F.desc("consecutive_failures"), "url", "id")
-    step = F.when(F.col("status") == "broken", 0).when(F.col("status") == "ok", 1).when(F.col("status") == "pending", 2).otherwise(3)
-    ranked = listed.withColumn("rank", step.cast("long") * 1_000_000_000 + F.row_number().over(order))
+    ranked = numbered(listed, ["status", F.desc("consecutive_failures"), "url", "id"], "rank")
     groups = report.page_groups(m.sites, m.ordered_pages, m.page_links, ranked)
     members = F.array_join(F.transform("entries", lambda e: e["link_id"].cast("string")), ",")
     return groups.select("site_slug", "page_title", "page_url", "kind", "n_links", "n_occurrences", members.alias("members"))
