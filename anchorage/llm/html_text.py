@@ -334,10 +334,10 @@ def neighbours(pages: DataFrame) -> DataFrame:
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     sorted_pages = read_pages.dropDuplicates(["page_key"]).orderBy("host", "path", "page_key")
     ordered = stash(sorted_pages.select("*", F.spark_partition_id().alias("part"), within.alias("at")))
-    # One row a partition of the sort.
+    # One row a partition of the sort, however many pages there are.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = ordered.join(parts, "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
+    ranked = ordered.join(F.broadcast(parts), "part").withColumn("rank", F.col("before") + F.col("at")).drop("part", "at", "before")
     follower = ranked.select((F.col("rank") - 1).alias("rank"), *[F.col(c).alias(f"next_{c}") for c in read_pages.columns])
     pairs = ranked.join(follower, "rank").filter("host = next_host").select(
         "page_key", "path", "lines", "sizes", "free", "next_page_key", "next_path", "next_lines", "next_sizes", "next_free"

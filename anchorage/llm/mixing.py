@@ -59,7 +59,7 @@ def targets(sizes: DataFrame, mix: Mix) -> DataFrame:
     weights = F.array(*[F.lit(float(w)) for w in mix.weights])
     weight = F.element_at(weights, ((F.col("before") + F.col("at")) % len(mix.weights) + 1).cast("int"))
     most = F.col("source_size") * float(mix.limit)
-    weighed = stash(ordered.join(parts, "part").select("key", "source_size", weight.alias("weight"), most.alias("most")))
+    weighed = stash(ordered.join(F.broadcast(parts), "part").select("key", "source_size", weight.alias("weight"), most.alias("most")))
     discard(ordered)
     total = mix.share * float(weighed.agg(F.sum("source_size")).first()[0] or 0)
     level, stops = 0.0, F.col("most") / F.col("weight")
