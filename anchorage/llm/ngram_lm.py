@@ -5,8 +5,9 @@ quantised on a logarithmic scale.  A pair of level q is put into a Bloom filter
 as the q events (pair, 1) ... (pair, q); its level is read back by probing for
 one event after the other until one is missing.  All bits of an event lie in
 one 64-bit word, so a probe is one look.  The filter is split into segments by
-hash, so it is built where the counts are and each segment is written once.  Its size is chosen from the number of events and never exceeds
-``max_bits``; if all events do not fit, the rarest levels of words and pairs
+hash, so it is built where the counts are and each segment is written once.  Its
+size is chosen from the number of events and never exceeds ``max_bits``, as it
+is broadcast; if all events do not fit, the rarest levels of words and pairs
 stay out.  What a text then does not find in the filter is joined to the exact
 counts of these levels, so scores do not depend on what fits.  Pairs seen once
 are never in the filter.  In a text that has been counted, a pair that is not
@@ -42,10 +43,10 @@ _ONE, _TWO = 0, 1  # the lowest bit of a key: words and pairs
 class Params:
     #: Ratio of neighbouring levels.
     base: float = 1.5
-    #: Bits that an event sets, bits of the filter for each event, and the most bits altogether (56 MiB).
+    #: Bits that an event sets, bits of the filter for each event, and the most bits altogether (24 MiB).
     probes: int = 5
     bits_per_event: int = 11
-    max_bits: int = 448 << 20
+    max_bits: int = 192 << 20
     #: Weight of pairs against words.
     pair_weight: float = 0.3
     #: Words whose exact counts are broadcast for the base score; all others are joined.
