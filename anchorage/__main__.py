@@ -16,7 +16,7 @@ from anchorage.plans import runs
 from anchorage.plans.materialize import cut
 from anchorage.plans.worker import Worker
 from anchorage.settings import Pace
-from anchorage.sources import listing, probe
+from anchorage.sources import certificates, listing, probe
 from anchorage.sources.store import Store
 
 
@@ -65,7 +65,7 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "crawl":
         _crawl(store, a.limit, a.force)
     elif a.command == "check":
-        print(runs.drain(store, _now, a.limit or 50), "claimed")
+        print(runs.drain(store, _now, a.limit or 50, recover=certificates.recovered), "claimed")
     elif a.command == "requeue-broken":
         print(runs.requeue_broken(store, _now()), "due now")
     elif a.command == "report":
@@ -73,7 +73,7 @@ def main(args: list[str] | None = None) -> int:
     else:
         logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
         pace = Pace(crawl_seconds=a.every)
-        Worker(store, lambda site: _crawl_site(store, site, a.limit, a.force), probe.request, _now, a.html, pace).run()
+        Worker(store, lambda site: _crawl_site(store, site, a.limit, a.force), probe.request, _now, a.html, certificates.recovered, pace).run()
     return 0
 
 

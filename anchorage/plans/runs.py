@@ -110,10 +110,11 @@ def _crawl(store: Store, tables: Tables, site_id: int, index_html: str, listing:
     return CrawlTotals(counts[0], counts[1], counts[0] - counts[1], got.missing.count(), got.complete)
 
 
-def check(store: Store, now: datetime, limit: int, ask=probe.request, rules: Admission = Admission(), jitter_share: float = 0.1) -> Checked:
+def check(store: Store, now: datetime, limit: int, ask=probe.request, rules: Admission = Admission(), jitter_share: float = 0.1, recover=None) -> Checked:
     """Claim due links, ask for each, record outcomes and release the leases; also where asking fails.
 
-    Returns the number claimed, which tells how many of them were not ok.
+    ``recover`` may try again after a bad certificate.  Returns the number
+    claimed, which tells how many of them were not ok.
     """
 
     def claim(tables: Tables) -> DataFrame:
@@ -128,7 +129,7 @@ def check(store: Store, now: datetime, limit: int, ask=probe.request, rules: Adm
     if not n:
         return Checked(0)
     try:
-        results = cut(probe.probe(claimed, ask).withColumn("checked_at", at(now)))
+        results = cut(probe.probe(claimed, ask, recover).withColumn("checked_at", at(now)))
         record(store, results, jitter_share)
     except BaseException:
         finished = claimed.select(F.col("id").alias("link_id"))

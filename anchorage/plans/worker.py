@@ -33,6 +33,7 @@ class Worker:
     ask: Callable
     now: Callable[[], datetime]
     html: str | None = None
+    recover: Callable | None = None
     pace: Pace = Pace()
     stop: threading.Event = field(default_factory=threading.Event)
     #: What each loop has done.
@@ -65,7 +66,7 @@ class Worker:
 
     def _check(self) -> int:
         """One poll; returns the number claimed."""
-        claimed = runs.check(self.store, self.now(), self.pace.room, self.ask)
+        claimed = runs.check(self.store, self.now(), self.pace.room, self.ask, recover=self.recover)
         self.checked, self.not_ok = self.checked + claimed, self.not_ok + getattr(claimed, "not_ok", 0)
         return claimed
 

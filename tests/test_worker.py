@@ -103,7 +103,7 @@ def test_loops_run_side_by_side_and_stop(store, tmp_path, caplog):
 
     page = tmp_path / "out.html"
     pace = Pace(crawl_seconds=0.1, idle_seconds=0.2, busy_seconds=0.1, report_seconds=0.5, progress_seconds=0.5, room=2)
-    w = worker.Worker(store, crawl, lambda url: (404, None) if "x.test" in url else (200, None), now, str(page), pace)
+    w = worker.Worker(store, crawl, lambda url: (404, None) if "x.test" in url else (200, None), now, str(page), pace=pace)
     runner = threading.Thread(target=w.run)
     runner.start()
     deadline = time.time() + 150
