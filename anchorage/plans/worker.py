@@ -19,7 +19,7 @@ from datetime import datetime
 from anchorage.operators import report
 from anchorage.plans import runs
 from anchorage.settings import Pace
-from anchorage.sources.store import Store
+from anchorage.sources.store import Conflict, Store
 
 log = logging.getLogger(__name__)
 
@@ -57,8 +57,12 @@ class Worker:
                 log.info("%s: crawled %d pages, %d missing", site.slug, totals.found, totals.missing)
             except Exception:  # one site's failure leaves the others
                 log.exception("crawl of %s failed", site.slug)
-        self.store.compact()
         self._report()
+        try:
+            self.store.compact()
+        except Conflict:  # a check was recorded meanwhile; the next round tidies up
+            pass
+        self.store.vacuum()
 
     def _report(self) -> None:
         if self.html:
