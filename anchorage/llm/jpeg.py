@@ -33,7 +33,7 @@ from anchorage.llm.common import binary_values, map_batches, utf8
 PAD = 576  # 3 x 3 blocks of 64 coefficients
 _ACROSS = 3  # blocks in a row of an image
 _ROWS = 2700  # rows of 3 x 3 blocks in an image at most: JPEG counts at most 65,535 lines
-_GROUP = 4 << 20  # coefficients written or read at a time
+_GROUP = 2 << 20  # coefficients written or read at a time; an image has fewer
 _FEW = 16  # scans with fewer restart intervals are decoded symbol by symbol
 
 # Fixed values of the JPEG standard (Annex K): codes of each length from 1 to 16, and the symbols in the order of their codes.
