@@ -39,7 +39,7 @@ class Bands:
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
-        (128, 0.00, 1.75), (256, 1.22, 1.75), (512, 1.33, 1.87), (1_024, 1.47, 2.05), (2_048, 1.61, 2.25), (4_096, 1.72, 2.40),
+        (128, 0.00, 1.75), (256, 1.22, 1.75), (512, 1.33, 1.93), (1_024, 1.47, 2.08), (2_048, 1.61, 2.25), (4_096, 1.72, 2.40),
         (8_192, 1.81, 2.54), (16_384, 1.86, 2.61), (32_768, 1.88, 2.70), (131_072, 1.88, 3.20), (1_048_576, 1.88, 4.00),
     )
     chunk_bytes: int = 4096
