@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anchorage.llm.common import (
-    U64, binary_values, bounded_batches, byte_array, map_batches, mix64, stash, utf8, word_bounds, word_hashes,
+    U64, binary_values, bounded_batches, byte_array, discard, map_batches, mix64, stash, utf8, word_bounds, word_hashes,
 )
 
 _END = U64(0x5DEECE66D1234568)
@@ -195,7 +195,9 @@ def build(found: DataFrame, params: Params) -> tuple[LogBloom, dict]:
             yield pa.record_batch([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
 
     segments = np.zeros((n_segments, 1 << _SEGMENT_BITS >> 6), U64)
-    built = rows.mapInArrow(fill, "segment int, bits binary").toArrow()
+    written = stash(rows.mapInArrow(fill, "segment int, bits binary"))
+    built = written.toArrow()
+    discard(written)
     for s, bits in zip(built["segment"].to_pylist(), built["bits"], strict=True):
         segments[s] = np.frombuffer(bits.as_buffer(), U64)
     words = {lv: held for (kind, lv), held in sizes.items() if kind == _ONE}
@@ -283,13 +285,13 @@ class Scorer:
         rest = np.flatnonzero(~head[index])
         return np.bincount(owner, minlength=n), known, base, score, (owner[rest], one[rest]), (owner[left], places), (ask_texts, ask_keys)
 
-    def answered(self, places: np.ndarray, held_out: bool, numbers: np.ndarray, counted: np.ndarray) -> float:
-        """Score of the open tokens of a text, whose asked keys ``numbers`` have been found with counts.
+    def answered(self, places: np.ndarray, held_out: bool, numbers: np.ndarray, found_levels: np.ndarray) -> float:
+        """Score of the open tokens of a text, whose asked keys ``numbers`` have been found with levels.
 
         Of a text that is not held out, every pair has been counted, and those not found once.
         """
         levels = np.zeros(max(-int(places.min(initial=0)), 1), np.int64)
-        levels[numbers] = self.bloom.level_of(counted)
+        levels[numbers] = found_levels
         found = np.where(places < 0, levels[np.maximum(-1 - places, 0)], places)
         pair = found[:, 0] if held_out else np.maximum(found[:, 0], 1)
         return float(self.logs(pair, found[:, 1], found[:, 2]).sum())
@@ -347,26 +349,33 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>, places array<int>, asks array<long>"
+    # Each of the next steps is written before the one after it, which frees the shuffle files of the steps before.
     scored = stash(map_batches(rows, run, schema).withColumn("row", F.monotonically_increasing_id()))
     others = scored.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("tf"))
     n = F.coalesce("n", F.lit(0))
-    joined = others.join(words, "key", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * (_log10(n + 0.1) - log_total)).alias("more_base"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("more_known")
+    joined = stash(
+        others.join(words, "key", "left").groupBy("row").agg(
+            F.sum(F.col("tf") * (_log10(n + 0.1) - log_total)).alias("more_base"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("more_known")
+        )
     )
     # The levels that the filter leaves out, and what the texts ask for of them.
     left_out = kept.filter(_level(params) <= F.when(F.col("key") % 2 == 0, F.lit(bloom.skip[_ONE])).otherwise(F.lit(bloom.skip[_TWO])))
-    asked = scored.select("row", F.posexplode("asks").alias("number", "key")).join(left_out, "key")
-    answers = asked.groupBy("row").agg(F.collect_list("number").alias("numbers"), F.collect_list("n").alias("counted"))
+    asked = scored.select("row", F.posexplode("asks").alias("number", "key")).join(left_out.select("key", _level(params).alias("level")), "key")
+    # A key's number in its text and its level, in one integer.
+    answer_of = F.shiftleft(F.col("number").cast("long"), 8).bitwiseOR(F.col("level"))
+    answers = stash(asked.select("row", answer_of.alias("answer")).groupBy("row").agg(F.collect_list("answer").alias("answers")))
+    discard(kept)
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
         more = []
-        for held, places, numbers, counted in zip(*batch.columns[1:], strict=True):
-            numbers, counted = (np.array(c.as_py() or [], np.int64) for c in (numbers, counted))
-            more.append(shared.value.answered(places.values.to_numpy().astype(np.int64).reshape(-1, 3), held.as_py(), numbers, counted))
+        for held, places, found in zip(*batch.columns[1:], strict=True):
+            found = found.values.to_numpy() if found.is_valid else np.empty(0, np.int64)
+            more.append(shared.value.answered(places.values.to_numpy().astype(np.int64).reshape(-1, 3), held.as_py(), found >> 8, found & 255))
         return pa.record_batch([batch.column(0), pa.array(more, pa.float64())], names=["row", "more_score"])
 
     open_rows = scored.filter("size(places) > 0").select("row", "held_out", "places").join(answers, "row", "left")
-    settled = map_batches(open_rows.select("row", "held_out", "places", "numbers", "counted"), answer, "row long, more_score double")
+    settled = stash(map_batches(open_rows.select("row", "held_out", "places", "answers"), answer, "row long, more_score double"))
+    discard(answers)
     return scored.drop("places", "asks", "rest").join(joined, "row", "left").join(settled, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
