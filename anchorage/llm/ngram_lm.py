@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ class Params:
     pair_weight: float = 0.3
     #: Words whose exact counts are broadcast for the base score; all others are joined.
     head_words: int = 1 << 18
+    #: Parts in which what the filter leaves open is joined to counts.
+    rounds: int = 4
     #: Keys a worker gathers before it sums them.
     gather: int = 2_000_000
 
@@ -360,10 +363,17 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
     )
     # The levels that the filter leaves out, and what the texts ask for of them.
     left_out = kept.filter(_level(params) <= F.when(F.col("key") % 2 == 0, F.lit(bloom.skip[_ONE])).otherwise(F.lit(bloom.skip[_TWO])))
-    asked = scored.select("row", F.posexplode("asks").alias("number", "key")).join(left_out.select("key", _level(params).alias("level")), "key")
+    left_out = left_out.select("key", _level(params).alias("level"))
+    asked = scored.select("row", F.posexplode("asks").alias("number", "key"))
     # A key's number in its text and its level, in one integer.
     answer_of = F.shiftleft(F.col("number").cast("long"), 8).bitwiseOR(F.col("level"))
-    answers = stash(asked.select("row", answer_of.alias("answer")).groupBy("row").agg(F.collect_list("answer").alias("answers")))
+    # A part of the keys after the other, so that never all that is asked for is on its way at once.
+    rounds = []
+    for part in range(params.rounds):
+        own = F.pmod(F.shiftrightunsigned("key", 1), F.lit(params.rounds)) == part
+        found = asked.filter(own).join(left_out.filter(own), "key").select("row", answer_of.alias("answer"))
+        rounds.append(stash(found.groupBy("row").agg(F.collect_list("answer").alias("answers"))))
+    answers = reduce(DataFrame.unionByName, rounds).groupBy("row").agg(F.flatten(F.collect_list("answers")).alias("answers"))
     discard(kept)
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -375,7 +385,7 @@ def scores(documents: DataFrame, params: Params = Params()) -> DataFrame:
 
     open_rows = scored.filter("size(places) > 0").select("row", "held_out", "places").join(answers, "row", "left")
     settled = stash(map_batches(open_rows.select("row", "held_out", "places", "answers"), answer, "row long, more_score double"))
-    discard(answers)
+    discard(*rounds)
     return scored.drop("places", "asks", "rest").join(joined, "row", "left").join(settled, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
