@@ -195,8 +195,8 @@ def wanted_lookups(m: Model) -> DataFrame:
 
 def _crawl_sql(depth: int, limit: str = "") -> str:
     """Pages reached from courses, level by level; pages divisible by 13 are not listed."""
-    levels = [f""", c_courses AS (SELECT page_id AS node, page_id // 50 AS ord FROM pages WHERE page_id % 50 = 0 OR page_id = 13 {limit}),
-      c_edges AS (SELECT src, dst FROM m_edges WHERE src % 13 <> 0 AND dst % 13 <> 0), r0 AS (SELECT node FROM c_courses WHERE node % 13 <> 0)"""]
+    levels = [f""", c_courses AS (SELECT page_id AS node, page_id // 50 AS ord FROM pages WHERE page_id % 50 = 0 OR page_id = 13),
+      c_edges AS (SELECT src, dst FROM m_edges WHERE src % 13 <> 0 AND dst % 13 <> 0), r0 AS (SELECT node FROM c_courses WHERE node % 13 <> 0 {limit})"""]
     levels += [f", r{k} AS (SELECT DISTINCT e.dst AS node FROM r{k - 1} r JOIN c_edges e ON e.src = r.node)" for k in range(1, depth + 1)]
     union = " UNION ALL ".join(f"SELECT node, {k} AS depth FROM r{k}" for k in range(depth + 1))
     return "".join(levels) + f""", reached AS (SELECT node, min(depth) AS depth FROM ({union}) GROUP BY node),
@@ -212,7 +212,7 @@ def _inputs(m: Model, children=None):
     # Every page is listed twice; the entry with the least id counts.
     once = ids.filter("page_id % 13 <> 0").select(name(p).alias("slug"), p.alias("id"), name(p % 4).alias("modified_gmt"))
     listed = once.unionByName(once.select("slug", (F.col("id") + 1_000_000).alias("id"), F.lit("later").alias("modified_gmt")))
-    links = m.edges.filter("src % 13 <> 0").select(name(F.col("src")).alias("slug"), F.concat(F.lit("https://s.test/"), name(F.col("dst")), F.lit("/#x")).alias("child_url"))
+    links = m.edges.filter("src % 13 <> 0").select(name(F.col("src")).alias("slug"), F.concat(F.lit("https://s.test/"), name(F.col("dst")), F.lit("/")).alias("child_url"))
     return courses, listed, (links if children is None else lambda level: children(level, links))
 
 
@@ -226,7 +226,7 @@ def missing_courses(m: Model) -> DataFrame:
     return reach.crawl_site(*_inputs(m)).missing.select("slug", "sort_order")
 
 
-@query(f"{_crawl_sql(8, 'AND page_id // 50 < 2')} SELECT slug, depth, kind, sort_order FROM crawled")
+@query(f"{_crawl_sql(8, 'AND ord < 2')} SELECT slug, depth, kind, sort_order FROM crawled")
 def limited_crawl(m: Model) -> DataFrame:
     return reach.crawl_site(*_inputs(m), limit=2).pages.select("slug", "depth", "kind", "sort_order")
 
