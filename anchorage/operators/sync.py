@@ -39,10 +39,11 @@ def upsert_sites(sites: DataFrame, configured: DataFrame) -> DataFrame:
     return upsert(sites, configured, ["slug"], ["base_url", "course_index_url"])
 
 
-def upsert_pages(pages: DataFrame, crawled: DataFrame) -> DataFrame:
-    """Pages by (site_id, url); a crawl tells everything else."""
-    rest = [c for c in pages.columns if c not in ("id", "site_id", "url")]
-    return upsert(pages, crawled, ["site_id", "url"], rest)
+def upsert_pages(pages: DataFrame, crawled: DataFrame, apart: tuple[str, ...] = ()) -> DataFrame:
+    """Pages by (site_id, url), and by the columns ``apart`` where several pages of a site have one URL; a crawl tells everything else."""
+    key = ["site_id", "url", *apart]
+    rest = [c for c in pages.columns if c != "id" and c not in key]
+    return upsert(pages, crawled, key, rest)
 
 
 def with_new_state(urls: DataFrame, now: datetime) -> DataFrame:

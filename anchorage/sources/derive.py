@@ -66,6 +66,12 @@ class Model:
         order = courses.join(first, "site_id").select("id", (F.col("place") - F.col("first")).cast("int").alias("sort_order"))
         return self.pages.drop("html").join(order, "id", "left")
 
+    @cached_property
+    def pages_apart(self) -> DataFrame:
+        """Ordered pages with ``copy``, which tells pages of one URL apart: 0 for the first of them, as for all others."""
+        first = self.pages.groupBy("site_id", "url").agg(F.min("id").alias("first"))
+        return self.ordered_pages.join(first, ["site_id", "url"]).withColumn("copy", F.col("id") - F.col("first")).drop("first")
+
     @cached_property
     def anchors(self) -> DataFrame:
         """(page_id, ord, url, text, day_context) of every anchor."""
