@@ -88,28 +88,33 @@ def replace_edges(edges: DataFrame, current: DataFrame, synced: DataFrame) -> Da
     return others.select("page_id", "child_url").unionByName(current.select("page_id", "child_url").distinct())
 
 
-def sync_pages(state: dict[str, DataFrame], crawled: DataFrame, found: DataFrame, children: DataFrame, now: datetime) -> dict[str, DataFrame]:
+def sync_pages(
+    state: dict[str, DataFrame], crawled: DataFrame, found: DataFrame, children: DataFrame, now: datetime, apart: tuple[str, ...] = ()
+) -> dict[str, DataFrame]:
     """All tables after a crawl.
 
     ``crawled`` has pages without id (with site_id); ``found`` the external
     links (site_id, page_url, ord, url, text, day_context, day_label,
     context_before, context_after); ``children`` the internal ones (site_id,
-    page_url, child_url).  Raises ValueError where a page's site is unknown.
+    page_url, child_url).  All of them, and the stored pages, have the columns
+    ``apart`` where several pages of a site have one URL.  Raises ValueError
+    where a page's site is unknown.
     """
     unknown = crawled.join(state["sites"].select(F.col("id").alias("site_id")), "site_id", "left_anti").select("site_id").take(1)
     if unknown:
         raise ValueError(f"unknown site {unknown[0][0]}")
-    pages = upsert_pages(state["pages"], crawled)
+    pages = upsert_pages(state["pages"], crawled, apart)
     links = upsert_links(state["links"], found, now)
-    ids = pages.select(F.col("id").alias("page_id"), "site_id", F.col("url").alias("page_url"))
-    placed = first_of_each(found.join(ids, ["site_id", "page_url"]).drop("site_id", "page_url"))
+    key = ["site_id", "page_url", *apart]
+    ids = pages.withColumnsRenamed({"id": "page_id", "url": "page_url"}).select("page_id", *key)
+    placed = first_of_each(found.join(ids, key).drop(*key))
     current = placed.join(links.select(F.col("id").alias("link_id"), "url"), "url").select(
         "page_id", "link_id", "day_context", "day_label", F.col("text").alias("link_text"), "context_before", "context_after", at(now).alias("last_seen_at")
     )
-    synced = crawled.select("site_id", F.col("url").alias("page_url")).join(ids, ["site_id", "page_url"]).select("page_id")
+    synced = crawled.withColumnRenamed("url", "page_url").select(*key).join(ids, key).select("page_id")
     merged = upsert_occurrences(state["page_links"], current)
     gone = stale_occurrences(state["page_links"], current, synced).select("id")
-    edges = children.join(ids, ["site_id", "page_url"]).select("page_id", "child_url")
+    edges = children.join(ids, key).select("page_id", "child_url")
     return {
         **state, "pages": pages, "links": links, "page_links": merged.join(gone, "id", "left_anti").select(*merged.columns),
         "page_internal_links": replace_edges(state["page_internal_links"], edges, synced),

@@ -274,15 +274,15 @@ def touched_pages(m: Model) -> DataFrame:
 def synced_pages(m: Model) -> DataFrame:
     """Pages with even ids are crawled again and have lost every second link."""
     edges = m.spark.createDataFrame([], "page_id bigint, child_url string")
-    tables = {"sites": m.sites, "pages": m.ordered_pages, "links": m.unchecked_links, "page_links": m.page_links, "page_internal_links": edges}
-    crawled = m.ordered_pages.filter("id % 2 = 0").drop("id")
-    urls = m.ordered_pages.select(F.col("id").alias("page_id"), "site_id", F.col("url").alias("page_url"))
+    tables = {"sites": m.sites, "pages": m.pages_apart, "links": m.unchecked_links, "page_links": m.page_links, "page_internal_links": edges}
+    crawled = m.pages_apart.filter("id % 2 = 0").drop("id")
+    urls = m.pages_apart.select(F.col("id").alias("page_id"), "site_id", F.col("url").alias("page_url"), "copy")
     nothing = F.lit(None).cast("string")
     found = m.anchors.filter("page_id % 2 = 0 and ord % 2 = 0").join(urls, "page_id").select(
-        "site_id", "page_url", "ord", "url", "text", "day_context", nothing.alias("day_label"), nothing.alias("context_before"), nothing.alias("context_after")
+        "site_id", "page_url", "copy", "ord", "url", "text", "day_context", nothing.alias("day_label"), nothing.alias("context_before"), nothing.alias("context_after")
     )
-    children = urls.limit(0).select("site_id", "page_url", F.lit("").alias("child_url"))
-    after = sync.sync_pages(tables, crawled, found, children, NOW)
+    children = urls.limit(0).select("site_id", "page_url", "copy", F.lit("").alias("child_url"))
+    after = sync.sync_pages(tables, crawled, found, children, NOW, ("copy",))
     links = after["links"].select(F.col("id").alias("link_id"), "url")
     return after["page_links"].join(links, "link_id").select("page_id", "url", "link_text")
 

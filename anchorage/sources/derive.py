@@ -70,7 +70,8 @@ class Model:
     def pages_apart(self) -> DataFrame:
         """Ordered pages with ``copy``, which tells pages of one URL apart: 0 for the first of them, as for all others."""
         first = self.pages.groupBy("site_id", "url").agg(F.min("id").alias("first"))
-        return self.ordered_pages.join(first, ["site_id", "url"]).withColumn("copy", F.col("id") - F.col("first")).drop("first")
+        told = self.ordered_pages.join(first, ["site_id", "url"]).withColumn("copy", F.col("id") - F.col("first")).drop("first")
+        return cut(told)  # a stored table, as page_links
 
     @cached_property
     def anchors(self) -> DataFrame:
