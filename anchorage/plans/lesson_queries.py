@@ -187,7 +187,7 @@ def looked_up_pages(m: Model) -> DataFrame:
 @query("SELECT id, slug, url FROM m_pages WHERE kind = 'course'")
 def wanted_lookups(m: Model) -> DataFrame:
     courses = m.pages.filter("kind = 'course'")
-    return listing.wanted(courses).join(courses.select("id", "url"), "url").select("id", "slug", "url")
+    return listing.wanted(courses.select("id", "url")).select("id", "slug", "url")
 
 
 # ---------------------------------------------------------------- crawl

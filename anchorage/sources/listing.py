@@ -51,8 +51,8 @@ def page_records(answers: DataFrame) -> DataFrame:
 
 
 def wanted(courses: DataFrame) -> DataFrame:
-    """(slug, url) to look up for course URLs (url)."""
-    return courses.select(slug("url").alias("slug"), "url")
+    """(slug, url, ...) to look up for course URLs (url, ...): a row each, with what else is known of it."""
+    return courses.select(slug("url").alias("slug"), *[c for c in courses.columns if c != "slug"])
 
 
 def fetch(url: str, timeout: float = 20.0) -> tuple[int, dict[str, str], str]:

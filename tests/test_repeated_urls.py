@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["upsert_pages", "synced_pages"])
+@pytest.mark.parametrize("name", ["upsert_pages", "synced_pages", "wanted_lookups"])
 def test_query_equals_its_sql(spark, folder, name):
     con = duckdb.connect()
     for table in ("pages", "events"):
