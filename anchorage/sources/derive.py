@@ -49,14 +49,15 @@ class Model:
 
     @cached_property
     def pages(self) -> DataFrame:
-        """Pages but for ``sort_order``; ``html`` rides along."""
-        raw = self.raw("pages").withColumn("slug_of_site", host("url"))
-        return raw.join(self.sites.select(F.col("id").alias("site_id"), F.col("slug").alias("slug_of_site")), "slug_of_site").select(
-            (F.col("page_id") + 1).alias("id"), "site_id", "url", slug("url").alias("slug"),
+        """Pages but for ``sort_order``; ``html`` rides along, and what is made of it is made before the join, so that it can stay behind."""
+        raw = self.raw("pages").select(
+            host("url").alias("slug_of_site"), (F.col("page_id") + 1).alias("id"), "url", slug("url").alias("slug"),
             _decoded(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), at(CRAWLED).alias("last_crawled_at"),
             F.md5(F.col("html")).alias("modified_gmt"), F.when(F.col("page_id") % 2 == 0, COURSE).otherwise(OTHER).alias("kind"),
             at(CRAWLED).alias("internal_links_synced_at"), "html",
         )
+        sites = self.sites.select(F.col("id").alias("site_id"), F.col("slug").alias("slug_of_site"))
+        return raw.join(sites, "slug_of_site").select("id", "site_id", *[c for c in raw.columns if c not in ("id", "slug_of_site")])
 
     @cached_property
     def ordered_pages(self) -> DataFrame:
